@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from sluice.llm import pii
+from sluice.llm import line_dedup, pii, quality
 
-QUERIES = {"op1_pii": pii.op1_pii}
-ORACLES = {"op1_pii": pii.OP1_SQL}
+QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+}
+#: The learned verdict of op3 is not SQL; its query is tested against brute force.
+ORACLES = {
+    "op1_pii": pii.OP1_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
+}
