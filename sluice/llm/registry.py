@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from sluice.llm import line_dedup, pii, quality
+from sluice.llm import fingerprint, licenses, line_dedup, mixing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_mixing": mixing.op5_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
 }
 #: The learned verdict of op3 is not SQL; its query is tested against brute force.
 ORACLES = {
     "op1_pii": pii.OP1_SQL,
+    "op4_license_scan": licenses.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op8_fingerprint": fingerprint.OP8_SQL,
 }
