@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import fingerprint, licenses, line_dedup, mixing, pii, quality
+from sluice.llm import fingerprint, jaccard_join, licenses, line_dedup, mixing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_fingerprint": fingerprint.op8_fingerprint,
+    "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
 }
 #: The learned verdict of op3 is not SQL; its query is tested against brute force.
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op5_mixing": mixing.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_fingerprint": fingerprint.OP8_SQL,
+    "op9_ngram_jaccard": jaccard_join.OP9_SQL,
 }
