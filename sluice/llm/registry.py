@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sluice.llm import fingerprint, jaccard_join, licenses, line_dedup, mixing, pii, quality
+from sluice.llm import fingerprint, jaccard_join, licenses, line_dedup, mixing, pii, quality, suffix_tree
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_lm_score": suffix_tree.op2_lm_score,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_mixing": mixing.op5_mixing,
