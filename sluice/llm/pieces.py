@@ -123,7 +123,9 @@ class Vocabulary:
         return self.sp.normalize(text) if text else ""
 
 
-vocabulary = cache(Vocabulary)
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 @np.errstate(over="ignore")
@@ -361,6 +363,8 @@ def _seed(key) -> int:
 
 def _encode(path: str, k: int, theta: float, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sluice.llm.pieces import vocabulary
+
         v = vocabulary(path)
 
         def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
@@ -409,6 +413,8 @@ def decoded(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = M
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
+        from sluice.llm.pieces import vocabulary
+
         v = vocabulary(path)
         return column.map(lambda x: None if x is None else v.decode(list(x)))
 
@@ -420,6 +426,8 @@ def best_encoding(df: DataFrame, text: str = "text", out: str = "ids", path: str
 
     @F.pandas_udf("array<int>")
     def run(column: pd.Series) -> pd.Series:
+        from sluice.llm.pieces import vocabulary
+
         return pd.Series(vocabulary(path).sp.encode(column.fillna("").tolist(), num_threads=1), index=column.index)
 
     return df.withColumn(out, run(F.col(text)))
