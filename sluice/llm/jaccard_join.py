@@ -14,7 +14,7 @@ of what remains: sets that are already connected are never compared again.
    the number of shared prefix shingles as a bound; longer ones give ties of
    each set to the list's leaders. Entries stand by size, so those of unfitting
    size are skipped as a block.
-4. ``verified`` ships a pair's texts to its hub (dealt to many tasks if the hub
+4. ``compared`` ships a pair's texts to its hub (dealt to many tasks if the hub
    has many partners) and counts the overlap exactly.
 5. Components of the links; then, while a long list still holds sets of
    several components, another round of leaders, and at last all its pairs
@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import count_partitions, table, written
-from sluice.llm.shingles import WordHashes, set_key, shingle_set
+from sluice.llm.shingles import set_key, shingle_sets, stretches
 
 WORDS, PERCENT = 5, 75
 SHORT = 24
 LEADERS = 2
+#: Rounds of leaders at most; fewer, if the pairs that are left are no more than so many a posting.
 ROUNDS = 3
+PAIRS_PER_POSTING = 8
 #: Sets that one task of a hub compares.
 HUB_ROWS = 1024
 MAX_FREQUENT = 2_000_000
@@ -67,13 +69,8 @@ def overlap_needed(nx, ny, percent: int = PERCENT):
     return -(-percent * (nx + ny) // (100 + percent))
 
 
-def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    return batch.column("text").to_pylist()
-
-
 def _set_rows(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         held: list[np.ndarray] = []
         n_held = 0
         names = ["doc_id", "n", "key", "token", "count"]
@@ -85,11 +82,11 @@ def _set_rows(percent: int, size: int):
             return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names)
 
         seen: set[int] = set()
-        for batch in batches:
-            sets = [shingle_set(t, memo, size) for t in _texts(batch)]
+        for rows, texts in (x for batch in batches for x in stretches(batch)):
+            sets = shingle_sets(texts, size)
             keys = [set_key(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none], names)
             for k, s in zip(keys, sets, strict=True):
                 if k is not None and k not in seen:
                     seen.add(k)
@@ -109,11 +106,10 @@ def _postings(frequent, buckets: int, percent: int, size: int):
     """(bucket, records) rows: the prefixes of a task's distinct sets, by range of shingle hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, often, seen = WordHashes(), frequent.value, set()
-        for batch in batches:
+        often, seen = frequent.value, set()
+        for texts in (t for batch in batches for _, t in stretches(batch)):
             parts = []
-            for t in _texts(batch):
-                s = shingle_set(t, memo, size)
+            for s in shingle_sets(texts, size):
                 if not len(s):
                     continue
                 key = set_key(s)
@@ -166,27 +162,23 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _verify(size: int, percent: int):
-    """Rows sorted by (hub, deal, is_hub first): streams partners past their hub's set. (x, y, overlap)."""
+def _verify(size: int):
+    """Rows sorted by (hub, deal, is_hub first): streams partners past their hub's set. (x, y, overlap, nx, ny)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, at, hub = WordHashes(), None, None
-        for batch in batches:
-            xs, ys = [], []
-            for y, deal, is_hub, x, text in zip(*(batch.column(c).to_pylist() for c in ("hub", "deal", "is_hub", "key", "text")), strict=True):
-                s = shingle_set(text, memo, size)
+        at, hub = None, None
+        for rows, texts in (x for batch in batches for x in stretches(batch)):
+            out = []
+            for y, deal, is_hub, x, s in zip(*(rows.column(c).to_pylist() for c in ("hub", "deal", "is_hub", "key")), shingle_sets(texts, size), strict=True):
                 if set_key(s) != (y if is_hub else x):
                     continue  # a row of a repeated id with another text
                 if is_hub:
                     at, hub = (y, deal), s
                 elif at == (y, deal):
                     i = np.searchsorted(hub, s)
-                    both = int((hub[np.minimum(i, len(hub) - 1)] == s).sum())
-                    if both >= overlap_needed(len(s), len(hub), percent):
-                        xs.append(x)
-                        ys.append(y)
-            if xs:
-                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+                    out.append((x, y, int((hub[np.minimum(i, len(hub) - 1)] == s).sum()), len(s), len(hub)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], ["x", "y", "overlap", "nx", "ny"])
 
     return run
 
@@ -201,8 +193,8 @@ def _filter_of(ids: DataFrame):
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, size: int) -> DataFrame:
-    """pairs: distinct (x, y) names of sets. Those that reach the threshold."""
+def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """pairs: distinct (x, y) names of sets. Adds the overlap and both sizes."""
     spark = docs.sparkSession
     deal = F.pmod(F.xxhash64("x"), F.greatest(F.ceil(F.col("partners") / HUB_ROWS), F.lit(1))).cast("int")
     loads = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("partners"))
@@ -225,7 +217,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, s
     few = hashed.mapInArrow(may, "doc_id bigint, text string")
     sent = asked.join(few, "doc_id").select("hub", "deal", "is_hub", "key", "text")
     by_hub = sent.repartition(count_partitions(spark), "hub", "deal").sortWithinPartitions("hub", "deal", F.col("is_hub").desc(), "key")
-    return by_hub.mapInArrow(_verify(size, percent), "x bigint, y bigint").distinct()
+    return written(by_hub.mapInArrow(_verify(size), "x bigint, y bigint, overlap bigint, nx bigint, ny bigint").distinct(), "jaccard-compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,7 +240,13 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int):
     leaders: ties of each set to so many sets of the list from other components; None: all pairs across components.
     """
 
-    def one(key, n, pos, comp) -> tuple[np.ndarray, np.ndarray]:
+    def may_link(i: int, j, n: np.ndarray, near: np.ndarray):
+        """What the comparisons with the list's leader say of i and j: shared shingles stand in the leader or outside of it."""
+        known = (near[i] >= 0) & (near[j] >= 0)
+        most = np.minimum(near[j] + n[i] - near[i], near[i] + n[j] - near[j])
+        return ~known | (most >= overlap_needed(n[i], n[j], percent))
+
+    def one(key, n, pos, comp, near) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         if leaders is not None:
             xs, ys = [none], [none]
@@ -261,7 +259,7 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int):
                     if len(picked) == leaders:
                         break
             for i in picked:
-                fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                fits = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & may_link(i, slice(None), n, near)
                 xs.append(key[fits])
                 ys.append(np.full(int(fits.sum()), key[i]))
             return np.concatenate(xs), np.concatenate(ys)
@@ -274,6 +272,7 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int):
             if long_lists:
                 # The first shared shingle of a pair also bounds what can follow it in both sets.
                 fits &= 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= overlap_needed(n[i], n[j], percent)
+                fits &= may_link(i, j, n, near)
             ks = key[j][fits]
             xs.append(np.maximum(ks, key[i]))
             ys.append(np.minimum(ks, key[i]))
@@ -281,7 +280,7 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        cols = ("token", "key", "n", "pos", "comp")
+        cols = ("token", "key", "n", "pos", "comp", "near")
 
         def emit(a: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             start = np.flatnonzero(np.r_[True, a[0][1:] != a[0][:-1]])
@@ -318,7 +317,7 @@ def _two(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _emitted(lists: DataFrame, long_lists: bool, leaders: int | None, percent: int) -> DataFrame:
-    rows = lists.select("token", "key", "n", "pos", "comp")
+    rows = lists.select("token", "key", "n", "pos", "comp", "near")
     by_list = rows.repartition(count_partitions(lists.sparkSession), "token").sortWithinPartitions("token", "n", "key")
     return by_list.mapInArrow(_pairs(long_lists, leaders, percent), "x bigint, y bigint")
 
@@ -342,7 +341,8 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     lists = written(blobs.mapInArrow(_lists, "token bigint, key bigint, n bigint, pos bigint, size bigint"), "jaccard-lists")
     reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
-    short = lists.where(F.col("size") <= SHORT).withColumn("comp", F.col("key"))
+    alone = {"comp": F.col("key"), "near": F.lit(-1).cast("bigint")}
+    short = lists.where(F.col("size") <= SHORT).withColumns(alone)
     long_ = written(lists.where(F.col("size") > SHORT).select("token", "key", "n", "pos"), "jaccard-long")
     shared = _emitted(short, False, None, percent).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     # What the prefixes share, long lists counted in full, and what may follow the prefixes bound the overlap.
@@ -353,30 +353,35 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     after = lambda c: F.ceil(percent * F.col(f"n{c}") / 100) - 1
     needed = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
     close = sized.where(F.col("c") + F.least("bx", "by") + F.greatest(after("x"), after("y")) >= needed).select("x", "y")
-    ties = _emitted(long_.withColumn("comp", F.col("key")), True, LEADERS, percent).distinct()
-    links = written(verified(written(close.union(ties).distinct(), "jaccard-close"), docs, reps, percent, size), "jaccard-links")
-    labels = components(links)
-
-    has_long = not long_.isEmpty()
-    tried = None
-    for turn in range(ROUNDS + 1) if has_long else ():
-        comp = long_.join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("label", "key").alias("comp"))
-        comp = written(comp, "jaccard-long")
-        split = comp.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("token")
-        open_ = comp.join(split, "token", "left_semi")
-        last = turn == ROUNDS
-        more = _emitted(open_, True, None if last else LEADERS + 2 * turn, percent).distinct()
-        if tried is not None:
-            more = more.join(tried, ["x", "y"], "left_anti")
+    ties = written(_emitted(long_.withColumns(alone), True, LEADERS, percent).distinct(), "jaccard-ties")
+    linked = F.expr(f"100 * overlap >= {percent} * (nx + ny - overlap)")
+    known_ = compared(written(close.union(ties).distinct(), "jaccard-close"), docs, reps, size)
+    labels = components(known_.where(linked))
+
+    turn = 0
+    # A list's first leader is its least key; what each set shares with it decides later pairs without their texts.
+    leads = long_.groupBy("token").agg(F.min("key").alias("lead"))
+    while not long_.isEmpty():
+        comp = written(long_.join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("label", "key").alias("comp")), "jaccard-long")
+        per = comp.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+        per = written(per.agg(F.sum("c").alias("l"), F.sum(F.col("c") * F.col("c")).alias("s")).where("s < l * l"), "jaccard-open")
+        # Lists within one component have nothing to add: answers follow from their leader's.
+        size_, pairs = per.agg(F.sum("l"), F.sum(F.expr("(l * l - s) / 2"))).first()
+        if size_ is None:
+            break
+        last = turn == ROUNDS or pairs <= PAIRS_PER_POSTING * size_
+        open_ = comp.join(per.select("token"), "token", "left_semi").join(leads, "token")
+        shares = known_.select(F.col("x").alias("key"), F.col("y").alias("lead"), F.col("overlap").alias("near"))
+        near = F.when(F.col("key") == F.col("lead"), F.col("n")).otherwise(F.coalesce("near", F.lit(-1)))
+        open_ = open_.join(shares, ["key", "lead"], "left").withColumn("near", near)
+        turn += 1
+        more = _emitted(open_, True, None if last else LEADERS * turn, percent).distinct().join(known_, ["x", "y"], "left_anti")
         more = written(more, "jaccard-more")
-        if more.isEmpty():
-            if last:
-                break
-            continue
-        tried = more if tried is None else tried.union(more)
-        found = verified(more, docs, reps, percent, size)
-        links = written(links.union(found), "jaccard-links")
-        labels = components(links)
+        if not more.isEmpty():
+            known_ = written(known_.unionByName(compared(more, docs, reps, size)), "jaccard-known")
+            labels = components(known_.where(linked))
+        if last:
+            break
 
     named = rows.join(labels, "key", "left").select("doc_id", "n", "key", F.coalesce("label", "key").alias("label"))
     least_id = written(named.where("label IS NOT NULL").groupBy("label").agg(F.min(real("doc_id")).alias("component_id")), "jaccard-names")
