@@ -34,9 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import table, written
-from sluice.llm.shingles import MEMO
-
-import xxhash
+from sluice.llm.shingles import stretches, word_hashes
 
 DEPTH = 6
 #: Share of the training bytes that a context must have; bounds the tree.
@@ -44,9 +42,9 @@ P_MIN = 2e-6
 #: Tokens that can each be 1 / MAX_COMMON of all tokens: the broadcast part of the token counts.
 MAX_COMMON = 1_000_000
 FOLDS = 10
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 END = 0x0A
-#: Bytes scored or counted at a time.
-SLICE = 2_000_000
 #: Distinct grams or tokens that a task holds before it passes its counts on.
 HELD = 3_000_000
 
@@ -56,39 +54,30 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % FOLDS == 0
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[list[bytes]]]]:
-    """(batch, first row, words of its next rows), some SLICE of bytes at a time."""
-    for batch in batches:
-        held, size, first = [], 0, 0
-        column = batch.column("text")
-        for i in range(batch.num_rows):
-            w = words_of(column[i].as_py())
-            held.append(w)
-            size += sum(map(len, w)) + len(w)
-            if size >= SLICE:
-                yield batch, first, held
-                held, size, first = [], 0, i + 1
-        if held:
-            yield batch, first, held
-
-
-def grams(docs: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """All (context, byte) grams of some texts as integers, oldest byte highest, and where each text's begin."""
-    pad = bytes([END]) * depth
-    joined = [b" ".join(w) for w in docs]
-    blob = np.frombuffer(b"".join(x for t in joined for x in (pad, t, b"\n")), np.uint8).astype(np.uint64)
-    sizes = np.array([len(t) + 1 for t in joined])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    # Text i's byte j stands behind i + 1 pads.
-    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(sizes) + 1) * depth, sizes)
-    g = blob[at]
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+    begins = np.r_[1, 1 + np.cumsum([len(r) + 1 for r in raw])]
+    space = _SPACE[b]
+    word = np.flatnonzero(space[:-1] & ~space[1:])  # the white space before each word
+    row = np.searchsorted(begins, word + 1, side="right") - 1
+    gap = word[1:][row[1:] == row[:-1]]  # between two words of a text
+    keep = ~space
+    keep[gap] = True
+    at = np.flatnonzero(keep)
+    value = _LOWER[b[at]]
+    value[space[at]] = 0x20
+    row = np.searchsorted(begins, at, side="right") - 1
+    sizes = np.bincount(row, minlength=len(raw)) + 1
+    # Text i's bytes stand behind i + 1 pads, which no context crosses, and are followed by an end mark.
+    out = np.full(int(sizes.sum()) + len(raw) * depth, END, np.uint64)
+    out[np.arange(len(at)) + (row + 1) * depth + row] = value
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(raw) + 1) * depth, sizes)
+    g = out[at]
     for k in range(1, depth + 1):
-        g |= blob[at - k] << np.uint64(8 * k)
-    return g, starts
+        g |= out[at - k] << np.uint64(8 * k)
+    return g, np.cumsum(sizes) - sizes
 
 
 def _combined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +99,10 @@ def _count(depth: int):
                 key = k[i : i + 500_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(c[i : i + 500_000])], ["kind", "key", "count"])
 
-        for _, _, docs in _chunks(batches):
-            codes, names = pd.factorize(np.array([x for w in docs for x in w], object))
-            tokens = np.fromiter((xxhash.xxh64_intdigest(x) for x in names), np.uint64, len(names))
-            held[0].append((tokens, np.bincount(codes, minlength=len(names)).astype(np.int64)))
-            g, _ = grams(docs, depth)
-            codes, names = pd.factorize(g)
-            held[1].append((names, np.bincount(codes).astype(np.int64)))
+        for texts in (t for batch in batches for _, t in stretches(batch)):
+            for kind, found in ((0, word_hashes(texts)[0]), (1, grams(texts, depth)[0])):
+                codes, names = pd.factorize(found)
+                held[kind].append((names, np.bincount(codes, minlength=len(names)).astype(np.int64)))
             for kind in (0, 1):
                 if sum(len(p[0]) for p in held[kind]) >= HELD:
                     held[kind][:] = [_combined(held[kind])]
@@ -212,62 +198,43 @@ def learn_tree(counts: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> S
     return grow(t.column("d").to_numpy(), key >> np.uint64(8), key & np.uint64(255), t.column("count").to_numpy(), depth)
 
 
-class _Ids(dict):
-    """word -> number, with the number's hash in a list."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return n
-
-
 def _score(model, common, depth: int):
     """A row a text (token null), and a row for each of its uncommon tokens (doc_id null); ``rid`` names a row of the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: SuffixTree = model.value
         keys, logs = common.value
-        ids, at_id = _Ids(), np.zeros(0, np.int64)
         base_rid, n_rows = TaskContext.get().partitionId() << 40, 0
         names = ["rid", "doc_id", "held_out", "n_tokens", "n_common", "base_common", "score", "token", "tf"]
-        for batch, first, docs in _chunks(batches):
-            if len(ids) > MEMO:
-                ids, at_id = _Ids(), np.zeros(0, np.int64)
-            words = np.fromiter(map(ids.__getitem__, (x for w in docs for x in w)), np.int64)
-            fresh = np.array(ids.hashes[len(at_id) :], np.uint64)
+        for part, texts in (x for batch in batches for x in stretches(batch)):
+            n = len(texts)
+            found, sizes = word_hashes(texts)
+            words, kinds = pd.factorize(found)
+            at = np.full(len(kinds), -1)
             if len(keys):
-                p = np.minimum(np.searchsorted(keys, fresh), len(keys) - 1)
-                at_id = np.r_[at_id, np.where(keys[p] == fresh, p, -1)]
-            else:
-                at_id = np.r_[at_id, np.full(len(fresh), -1)]
-            sizes = np.array([len(w) for w in docs])
-            doc = np.repeat(np.arange(len(docs)), sizes)
-            place = at_id[words]
+                p = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
+                at = np.where(keys[p] == kinds, p, -1)
+            doc = np.repeat(np.arange(n), sizes)
+            place = at[words]
             seen = place >= 0
-            n_common = np.bincount(doc[seen], minlength=len(docs))
-            base = np.bincount(doc[seen], logs[place[seen]], minlength=len(docs)) if seen.any() else np.zeros(len(docs))
-            g, starts = grams(docs, depth)
-            codes, found = pd.factorize(g)
-            score = np.add.reduceat(tree.score(found)[codes], starts)
-            rid = base_rid + n_rows + np.arange(len(docs))
-            n_rows += len(docs)
-            none = lambda n, t: pa.nulls(n, t)
-            n = len(docs)
-            part = batch.slice(first, n)
+            n_common = np.bincount(doc[seen], minlength=n)
+            base = np.bincount(doc[seen], logs[place[seen]], minlength=n) if seen.any() else np.zeros(n)
+            g, starts = grams(texts, depth)
+            codes, unique = pd.factorize(g)
+            score = np.add.reduceat(tree.score(unique)[codes], starts)
+            rid = base_rid + n_rows + np.arange(n)
+            n_rows += n
+            none = pa.nulls
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid), part.column("doc_id"), part.column("held_out"), pa.array(sizes + 1), pa.array(n_common), pa.array(base), pa.array(score), none(n, pa.int64()), none(n, pa.int64())], names
             )
-            rare = np.stack([doc[~seen], words[~seen]])
-            if rare.shape[1]:
-                pair, tf = np.unique(rare[0] * (len(ids) + 1) + rare[1], return_counts=True)
+            rare = doc[~seen] * len(kinds) + words[~seen]
+            if len(rare):
+                pair, tf = np.unique(rare, return_counts=True)
                 m = len(pair)
-                token = np.array(ids.hashes, np.uint64)[pair % (len(ids) + 1)].view(np.int64)
+                token = kinds[pair % len(kinds)].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[pair // (len(ids) + 1)]), none(m, part.column("doc_id").type), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(token), pa.array(tf)], names
+                    [pa.array(rid[pair // len(kinds)]), none(m, part.column("doc_id").type), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(token), pa.array(tf)], names
                 )
 
     return run
