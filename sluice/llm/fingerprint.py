@@ -136,8 +136,9 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], prefix: str = "n
     more = F.transform(F.coalesce("__to", F.array().cast("array<bigint>")), lambda g: F.struct(g.alias("g"), F.lit(True).alias("copy")))
     dealt = both.withColumn("__at", F.explode(F.concat(own, more)))
     order = W.partitionBy("__at.g").orderBy("__at.copy", F.col("__k").desc(), *carried)
-    led = dealt.withColumn("__next", F.lead(F.struct(*carried)).over(order)).where(~F.col("__at.copy"))
-    return led.withColumns({prefix + c: F.col(f"__next.{c}") for c in carried}).drop("__k", "__g", "__to", "__at", "__next")
+    # Plain columns: of a struct of them, the shuffle would carry a second copy.
+    led = dealt.withColumns({prefix + c: F.lead(c).over(order) for c in carried}).where(~F.col("__at.copy"))
+    return led.drop("__k", "__g", "__to", "__at")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
