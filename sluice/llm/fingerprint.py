@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import let, table
+from sluice.llm.common import let, table, written
 
 LEAF = r"[^.!?]{1,200}[.!?]*|[.!?]+"
 #: Ids of one window.
 WIDTH = 1024
+#: Ranges whose heads may be broadcast: two numbers each.
+MAX_BROADCAST = 500_000
 _PRINT = {"section": 12, "paragraph": 8, "leaf": 8}
 
 
@@ -130,8 +132,10 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], prefix: str = "n
     # The range that gets a copy of a range's first row: the one above it, and for the topmost range the lowest.
     copies = following.where("below IS NOT NULL").join(heads.withColumnsRenamed({"__g": "below", "head": "__head"}), "below").select("__head", F.col("g").alias("__to"))
     last = following.where("below IS NULL").select(F.lit(high).cast("bigint").alias("__head"), F.col("g").alias("__to"))
-    copies = copies.unionByName(last).groupBy("__head").agg(F.collect_list("__to").alias("__to"))
-    both = rows.join(copies, rows["__k"] == copies["__head"], "left").drop("__head")
+    copies = written(copies.unionByName(last).groupBy("__head").agg(F.collect_list("__to").alias("__to")), "heads")
+    # One row for each range of WIDTH ids. Joined by a shuffle, texts would be shuffled twice.
+    small = copies.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    both = rows.join(F.broadcast(copies) if small else copies, rows["__k"] == copies["__head"], "left").drop("__head")
     own = F.array(F.struct(F.col("__g").alias("g"), F.lit(False).alias("copy")))
     more = F.transform(F.coalesce("__to", F.array().cast("array<bigint>")), lambda g: F.struct(g.alias("g"), F.lit(True).alias("copy")))
     dealt = both.withColumn("__at", F.explode(F.concat(own, more)))
