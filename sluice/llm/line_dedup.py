@@ -92,8 +92,9 @@ def dropped_keys(docs: DataFrame, id_col: str, text: str, min_chars: int, min_do
         for b in reversed(range(batches)):
             inside = (F.col("id") >= edges[b]) & (F.col("id") < edges[b + 1])
             runs.add(pairs.where(inside | F.col("id").isNull() if b == 0 else inside))
-    often = runs.state().where(F.col("n_docs") >= min_docs)
-    lost = pairs.join(often.select("key", "max_id"), "key").where(~F.col("id").eqNullSafe(F.col("max_id")))
+    # Written out, so that both sides of the join are plain exchanges and AQE can split a line that very many documents hold.
+    often = written(runs.state().where(F.col("n_docs") >= min_docs).select("key", "max_id"), "line-often")
+    lost = pairs.join(often, "key").where(~F.col("id").eqNullSafe(F.col("max_id")))
     return lost.groupBy("id").agg(F.collect_set(F.lower(F.hex("key"))).alias("drop"))
 
 
