@@ -205,9 +205,15 @@ class Lattice:
             beta[a:b] = top + np.log(np.add.reduceat(np.exp(x - top[owner[lo:hi] - a]), offs))
         self.log_p = np.minimum(self.w + beta[self.end] - beta[owner], 0.0)
         self.p = np.exp(self.log_p)
-        total = np.cumsum(self.p)
-        before = np.r_[0.0, total][self.first[:-1]]
-        self.upto = total - before[owner]
+        # Sums within a node only: what else is in the chunk must not touch their last bits.
+        self.upto = self.p.copy()
+        wide = np.flatnonzero(degree[order] > 1)
+        k = 1
+        while len(wide):
+            e = self.first[wide] + k
+            self.upto[e] += self.upto[e - 1]
+            k += 1
+            wide = wide[degree[order][wide] > k]
         self.upto[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
         self.owner = owner
         self.start = rank[np.cumsum(sizes) - sizes] if n else np.zeros(0, np.int64)
@@ -256,12 +262,11 @@ class _Path:
         self.edges, self.sizes, self.word, self.g, self.branch, self.gone = edges, sizes, word, g, branch, gone
         self.offset = np.cumsum(sizes) - sizes
         log_p = lat.log_p[edges]
-        whole = np.cumsum(log_p)
-        before = whole - log_p
-        base = np.r_[0.0, whole][self.offset]
         row = np.repeat(np.arange(len(sizes)), sizes)
-        before -= base[row]
-        self.log_p = np.r_[0.0, whole][self.offset + sizes] - base
+        # A sum a text, so that a text's last bits do not depend on its neighbours.
+        sums = [np.cumsum(log_p[i : i + m]) for i, m in zip(self.offset.tolist(), sizes.tolist(), strict=True)]
+        before = (np.concatenate(sums) if sums else log_p) - log_p
+        self.log_p = np.array([c[-1] if len(c) else 0.0 for c in sums])
         out = lat.p[edges].copy()
         place = np.arange(len(edges)) - self.offset[row]
         for d in np.flatnonzero(branch >= 0):

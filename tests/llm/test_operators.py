@@ -1,0 +1,369 @@
+"""Operators against brute force, known answers and held-out data, on small fixtures."""
+
+import collections
+import itertools
+import math
+import random
+import re
+import sys
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, __file__.rsplit("/", 1)[0])
+import util  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from sluice.llm import fingerprint, html_text, jaccard_join, licenses, line_dedup, mixing, pieces, pii, quality, suffix_tree  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def docs_of(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+
+# PII
+
+
+def test_pii_spans(spark):
+    texts = [
+        "mail a.b@x-y.example.com or c@d", "ip 1.2.3.4 and 1.2.3.256 and 001.2.3.4.5", "card 4539 1488 0343 6467 not 4539 1488 0343 6468", "call +1 (212) 555-0100, not +1 23",
+        "IBAN GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765433", "é🙂 x@y.zz", "a@b.c_d@e.f",
+    ]
+    got = [[(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.pii] for r in pii.find_pii(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [
+        [("email", "a.b@x-y.example.com")], [("ip", "1.2.3.4"), ("ip", "001.2.3.4")], [("card", "4539 1488 0343 6467")], [("phone", "+1 (212) 555-0100")],
+        [("iban", "GB82 WEST 1234 5698 7654 32")], [("email", "x@y.zz")], [("email", "a@b.c"), ("email", "_d@e.f")],
+    ]
+
+
+def test_pii_context_and_redaction(spark):
+    rows = pii.redact(pii.find_pii(docs_of(spark, ["see 10.0.0.1", "host 10.0.0.1, mail q@r.st"]))).orderBy("doc_id").collect()
+    assert [s.score for r in rows for s in r.pii if s.kind == "ip"] == [0.6, 0.8]
+    assert [r.redacted for r in rows] == ["see <IP>", "host <IP>, mail <EMAIL>"]
+
+
+# Language model
+
+
+def test_base_scores_by_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = suffix_tree.op2_lm_score(spark, SF).collect()
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t in texts.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for i in train for w in words[i])
+    count[None] = len(train)
+    n, v = sum(count.values()), len(count)
+    for r in rows:
+        tokens = [*words[r.doc_id], None]
+        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.n_known == sum(count[w] > 0 for w in tokens)
+        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(tokens), n, r.doc_id not in train)
+
+
+def test_distributions_are_proper_and_scores_are_sums():
+    texts = ["the cat sat on the mat", "the cat ran", None, "a dog"] * 5
+    g, _ = suffix_tree.grams(texts, 3)
+    keys, counts = np.unique(g, return_counts=True)
+    d, ctx, sym, n = [], [], [], []
+    for k in range(4):
+        low = keys & np.uint64((1 << 8 * (k + 1)) - 1)
+        u, inv = np.unique(low, return_inverse=True)
+        c = np.bincount(inv, counts)
+        d += [k] * len(u)
+        ctx += (u >> np.uint64(8)).tolist()
+        sym += (u & np.uint64(255)).tolist()
+        n += c.tolist()
+    tree = suffix_tree.grow(np.array(d), np.array(ctx, np.uint64), np.array(sym, np.uint64), np.array(n), 3)
+    assert len(tree.contexts[1]) > 0
+    for before in (0, 0x746865, 0x7A7A7A, int(tree.contexts[1][0])):
+        all_next = (np.uint64(before) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert (10 ** tree.score(all_next)).sum() == pytest.approx(1.0, abs=1e-9)
+
+
+def test_model_beats_base_on_held_out(spark):
+    rows = [r for r in suffix_tree.op2_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+# Quality
+
+
+def test_features_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = docs_of(spark, ["a b c d e a b c d e", "x\nx\n \n\nx", "#a $b", " ", None, "a a a a a a a"], 10_000)
+    for r in docs.union(odd).select("text", quality.features(F.col("text")).alias("q")).collect():
+        t, q = r.text or "", r.q
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        at = collections.defaultdict(list)
+        for i in range(len(w) - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (q.n_words, q.word_chars, q.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
+        assert (q.n_symbols, q.n_dup_lines) == (sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
+
+
+def test_learned_list_rejects_bad_and_keeps_good(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    # Learned on two thirds of the labels, judged on the rest.
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id")
+    rules = quality.learn(docs, labels.where("doc_id % 3 > 0").select("doc_id", "quality"))
+    rest = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").select("quality", quality.judged(F.col("text"), rules).alias("j")).select("quality", "j.kept", "j.base_failed")
+    n = {(r.quality, r.kept, r.base_failed): r["count"] for r in rest.groupBy("quality", "kept", "base_failed").count().collect()}
+    assert n.get((1, False, False), 0) == 0
+    assert n.get((0, True, False), 0) <= 0.1 * sum(c for k, c in n.items() if k[0] == 0)
+
+
+def test_no_labels_no_rules(spark):
+    docs = docs_of(spark, ["a b c d e f g h i j k"])
+    assert quality.learn(docs, spark.createDataFrame([], "doc_id bigint, quality int")) == []
+
+
+# Licences
+
+
+def test_whole_licences(spark):
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and "granted" in t)
+    texts = ["Copyright (c) 2020 Someone\n" + mit.upper(), "# " + mit.replace("License", "Licence").replace("\n", "\n#  "), mit + " No.", "text\n\nAll rights reserved.\nmore\nLicenced under the Apache Licence, version 2", "All Rights Reserved"]
+    rows = licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == ["MIT", "MIT", None, None, "all-rights-reserved"]
+    assert rows[3].notices == "Apache-2.0,all-rights-reserved"
+
+
+# Mixing
+
+
+def test_water_filling(spark):
+    rows = [("d0", "en", "a", 100), ("d0", "en", "b", 1000), ("d0", "de", "c", 10), ("d1", None, "e", 50), ("d1", None, None, 50)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens bigint")
+    got = {(r.domain, r.lang, r.source): r.target for r in mixing.leaf_targets(leaves, 600, {}, 1).collect()}
+    # d1 can use 100 of its 300; the rest goes to d0: c holds 10, a 100 of its half, b the rest.
+    assert got == {("d1", None, "e"): 50, ("d1", None, None): 50, ("d0", "de", "c"): 10, ("d0", "en", "a"): 100, ("d0", "en", "b"): 390}
+    assert all(r.target == 0 for r in mixing.leaf_targets(leaves, 0, {}, 3).collect())
+    weights = {"domain": {"d1": 0}}
+    assert {r.target for r in mixing.leaf_targets(leaves, 200, weights, 1).where("domain = 'd1'").collect()} == {0}
+
+
+def test_epochs_and_prefixes(spark):
+    rows = [(i, "en" if i % 2 else None, "src1", " ".join(["w"] * (1 + i % 4))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+    units = mixing.units_of(docs)
+    plan = mixing.mixing_plan(units, budget=700, weights={"lang": {"en": 1}})
+    targets = {r.lang: r.target for r in plan.collect()}
+    chosen = mixing.select_epochs(units, plan)
+    for r in chosen.groupBy("lang").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect():
+        assert targets[r.lang] <= r.n < targets[r.lang] + r.most
+    per = chosen.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("epoch").alias("e")).collect()
+    assert all(r.n == r.e for r in per) and {r.n for r in per} <= {1, 2, 3}
+
+
+# Pieces
+
+
+def _all_segmentations(v, t, theta):
+    out = []
+
+    def go(i, ids, w):
+        if i == len(t):
+            out.append((tuple(ids), w))
+            return
+        single = False
+        for n in range(1, 17):
+            p = t[i : i + n]
+            k = v.sp.piece_to_id(p)
+            if len(p) == n and k > 0 and v.sp.id_to_piece(k) == p and not v.sp.is_byte(k):
+                single |= n == 1
+                go(i + n, [*ids, k], w + theta * v.log_p[k])
+        if not single:
+            b = t[i].encode()
+            go(i + 1, [*ids, *(int(v.byte_id[x]) for x in b)], w + theta * v.log_byte * len(b))
+
+    go(0, [], 0.0)
+    return out
+
+
+def test_samples_follow_the_lattice():
+    v, theta, n = pieces.vocabulary(pieces.MODEL), 0.6, 5000
+    t = v.normalize("hat on")
+    every = _all_segmentations(v, t, theta)
+    z = math.log(sum(math.exp(w) for _, w in every))
+    p = {ids: math.exp(w - z) for ids, w in every}
+    seeds = np.array([pieces._seed(i) for i in range(n)], np.uint64)
+    first, second, weight = collections.Counter(), collections.Counter(), collections.Counter()
+    for d, s, ids, log_p, inclusion in pieces.sample_segmentations(v, [t] * n, seeds, 2, theta):
+        assert math.exp(log_p) == pytest.approx(p[tuple(ids)], abs=1e-9)
+        (first if s == 1 else second)[tuple(ids)] += 1
+        weight[d] += math.exp(log_p) / inclusion
+    assert max(abs(first[x] / n - q) for x, q in p.items()) < 0.03
+    without = {x: sum(p[y] * p[x] / (1 - p[y]) for y in p if y != x) for x in p}
+    assert max(abs(second[x] / n - q) for x, q in without.items()) < 0.03
+    assert np.mean(list(weight.values())) == pytest.approx(1.0, abs=0.05)  # inclusion scores weigh samples without bias
+
+
+def test_every_segmentation_once():
+    v = pieces.vocabulary(pieces.MODEL)
+    for text in ("at 中", "a\nb", "  x ", "\U0001f9ff"):
+        t = v.normalize(text)
+        got = [tuple(ids.tolist()) for _, _, ids, _, _ in pieces.sample_segmentations(v, [t], np.array([7], np.uint64), 500, 0.6)]
+        assert len(got) == len(set(got)) and set(got) == {ids for ids, _ in _all_segmentations(v, t, 0.6)}
+        assert {v.decode(ids) for ids in got} == {text}
+
+
+def test_batches_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    a, b = (sorted(tuple(r) for r in pieces.sampled_encodings(docs.repartition(n), with_ids=False).collect()) for n in (1, 5))
+    assert a == b and all(r[-1] for r in a) and len(a) == 2 * docs.count()
+
+
+def test_round_trips(spark):
+    texts = [t for t in util.ODD if t is not None and "▁" not in t]
+    rows = pieces.decoded(pieces.best_encoding(docs_of(spark, texts))).orderBy("doc_id").collect()
+    assert [r.decoded for r in rows] == texts
+    v = pieces.vocabulary(pieces.MODEL)
+    assert all(v.decode(v.sp.encode(t)) == v.sp.decode(v.sp.encode(t)) for t in texts if t != "x\n\n\ny\n")
+
+
+# Line dedup
+
+
+def test_runs_are_levelled_and_settled_keys_stay_out(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
+    for b in range(5):
+        runs.add(spark.createDataFrame([("hot", 100 - 10 * b - i) for i in range(4)] + [(f"k{b}", 100 - 10 * b)], "key string, id bigint"))
+    assert [len(p) for p in runs.levels] == [1, 0, 1]
+    state = {r.key: (r.n_docs, r.max_id) for r in runs.state().collect()}
+    assert state == {"hot": (4, 100)} | {f"k{b}": (1, 100 - 10 * b) for b in range(5)}
+
+
+def test_the_largest_id_keeps_the_line(spark):
+    line = "This line is long enough to be a candidate, surely."
+    docs = docs_of(spark, [f"a{i}\n  {line.upper()}\t\nshort\n{line}" for i in range(5)] + ["short", None])
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert [rows[i].n_dropped for i in range(7)] == [2, 2, 2, 2, 0, 0, 0]
+    assert rows[0].kept_text == "a0\nshort" and rows[6].kept_text == "" and rows[6].n_lines == 1
+
+
+# Fingerprints
+
+
+def test_likeness_and_branches(spark):
+    a = "First one. Second one.\nThird line here.\n\nAnother section. With two sentences."
+    b = a.replace("Third", "3rd")
+    df = spark.createDataFrame([(a, a, 1.0), (a, b, 0.8), (a, "", 0.0), ("", "", 1.0), ("é", "zz", 0.0)], "a string, b string, want double")
+    prints = df.select("want", fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("got"))
+    assert all(r.got == pytest.approx(r.want) for r in prints.collect())
+    where = df.limit(2).select(fingerprint.differing_branches(fingerprint.merkle_tree(F.col("a")), fingerprint.merkle_tree(F.col("b"))).alias("d")).collect()
+    assert [[tuple(x) for x in r.d] for r in where] == [[], [(0, 1, 0)]]
+
+
+def test_next_in_order_over_sparse_ids(spark):
+    rng = random.Random(5)
+    ids = sorted({rng.randrange(10**rng.randrange(1, 12)) for _ in range(400)}, reverse=True)
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string").repartition(7)
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, "doc_id", ["text"]).collect()}
+    assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+# Jaccard join
+
+
+def _brute(texts, size=5, percent=75):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and 100 * both >= percent * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)))
+            up[b] = a
+    return [(i, len(s), top(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_by_brute_force(spark, monkeypatch, seed):
+    """Families of near copies, edited to either side of the threshold, around shared passages, with lists far over SHORT."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 4)
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(300))
+    passage = [word() for _ in range(40)]
+    texts = []
+    for family in range(6):
+        base = [word() for _ in range(60 + 30 * family)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                w[rng.randrange(len(w))] = word()
+            if rng.random() < 0.3:
+                w = passage + w
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0].upper(), None, "", "one two", "ONE two", "one two three"] + [" ".join(passage + [word() for _ in range(12)]) for _ in range(30)]
+    rng.shuffle(texts)
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs_of(spark, texts)).collect())
+    assert got == _brute(texts)
+
+
+def test_other_thresholds(spark):
+    texts = ["a b c d", "a b c e", "a b c d e f", "x y z", "x y z"]
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs_of(spark, texts), size=1, percent=60).collect())
+    assert got == _brute(texts, 1, 60)
+
+
+# HTML
+
+
+PAGE = """<!doctype html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body><header><a href="/">Site</a></header>
+<nav class="menu"><ul><li><a href="/a">Home</a><li>More</ul></nav><div class="cookie-notice">We use cookies</div><div id="wrap"><{tag}><h1>Title {i}</h1>
+<p>First <b>bold &lt;x&gt; &#233;&nbsp;
+text<br>here.<p>Second {i}</p><!-- <p>hidden</p> --><div class="ad">Buy</div><ul><li>one<li>two</ul><form><input value="a>b"> Search</form><div class="comments"><p>Nice!</p></div></{tag}></div>
+<aside>Side</aside><footer>&copy; 2020</footer></body>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_extraction(spark, tag):
+    pages = [(i, f"http://a.example.com/{i}", PAGE.format(i=i, tag=tag)) for i in range(6)] + [(6, "x", None), (7, "http://b.example.com", "just text"), (8, "http://c.example.com", "<p>cut <b"), (9, None, "")]
+    rows = {r.page_id: r for r in html_text.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert rows[3].text == "Title 3\nFirst bold <x> é text here.\nSecond 3\none\ntwo"
+    assert [rows[i].text for i in (6, 7, 8, 9)] == ["", "just text", "cut <b", ""] and rows[3].n_chars == len(rows[3].text)
+
+
+def test_article_of_real_pages(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in html_text.op10_html_text(spark, SF).collect():
+        inside = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        blocks = [" ".join(html_text.html_lib.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inside)]
+        assert r.text == "\n".join(b for b in blocks if b)
+
+
+# Pipeline
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage on its own input: what must go goes, what must stay stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, SF).cache()
+    failed = {r.doc_id for r in docs.select("doc_id", quality.base_failed(quality.features(F.col("text"))).alias("f")).collect() if r.f}
+    assert not failed & {r.doc_id for r in kept.collect()}
+    lines = stages["line_dedup"](spark, kept, SF).cache()
+    assert lines.count() == kept.count() and lines.where("n_chars != length(text)").isEmpty()
+    one = stages["ngram_jaccard"](spark, lines, SF).cache()
+    order = [(r.doc_id, r.text) for r in lines.orderBy("doc_id").collect()]
+    groups = _brute([t for _, t in order])
+    assert sorted(r.doc_id for r in one.collect()) == [order[i][0] for i, _, top in groups if i == top]
+    mixed = stages["mixing"](spark, one, SF).cache()
+    assert mixed.columns == docs.columns and mixed.join(one, "doc_id", "left_anti").isEmpty()
+    out = stages["sentencepiece"](spark, mixed, SF)
+    assert out.where("NOT round_trip").isEmpty() and out.count() >= mixed.count()
