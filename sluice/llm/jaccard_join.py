@@ -187,9 +187,9 @@ def _filter_of(ids: DataFrame):
     """A Bloom filter of ids, of fixed size; made by a bitwise or over its words."""
     bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)))).alias("b"))
     words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    found = words.toArrow()  # at most FILTER_BITS / 64 rows
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["v"]
+    out[found.column("w").to_numpy()] = found.column("v").to_numpy()
     return out
 
 
@@ -334,7 +334,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     total = repeats.agg(F.sum("c")).first()[0] or 0
     # At most MAX_FREQUENT shingles can have so many of the counted repeats.
     least = max(FREQUENT, -(-total // MAX_FREQUENT))
-    frequent = np.fromiter((r["token"] for r in repeats.where(F.col("c") >= least).select("token").toLocalIterator()), np.int64).view(np.uint64)
+    frequent = repeats.where(F.col("c") >= least).select("token").toArrow().column("token").to_numpy().view(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(frequent))
     parts = count_partitions(spark)
     blobs = docs.mapInArrow(_postings(frequent, 8 * parts, percent, size), "bucket bigint, records binary").repartition(parts, "bucket")
