@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import count_partitions, table, written
-from sluice.llm.shingles import set_key, shingle_sets, stretches
+from sluice.llm.shingles import mixed, set_key, shingle_sets, stretches
 
 WORDS, PERCENT = 5, 75
 SHORT = 24
 LEADERS = 2
 #: Rounds of leaders at most; fewer, if the pairs that are left are no more than so many a posting.
-ROUNDS = 3
+ROUNDS = 2
 PAIRS_PER_POSTING = 8
 #: Sets that one task of a hub compares.
 HUB_ROWS = 1024
@@ -234,10 +234,12 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("key", "label")
 
 
-def _pairs(long_lists: bool, leaders: int | None, percent: int):
+def _pairs(long_lists: bool, leaders: int | None, percent: int, spread: bool = False):
     """Rows sorted by (token, n, key), a list within one partition. (x, y), and for short lists one row a shared shingle.
 
     leaders: ties of each set to so many sets of the list from other components; None: all pairs across components.
+    spread: leaders are members of the list's largest component, others in each list, so that a set outside of it meets
+    very many of them in one round, at the cost of a few pairs a posting.
     """
 
     def may_link(i: int, j, n: np.ndarray, near: np.ndarray):
@@ -246,13 +248,16 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int):
         most = np.minimum(near[j] + n[i] - near[i], near[i] + n[j] - near[j])
         return ~known | (most >= overlap_needed(n[i], n[j], percent))
 
-    def one(key, n, pos, comp, near) -> tuple[np.ndarray, np.ndarray]:
+    def one(token, key, n, pos, comp, near) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         if leaders is not None:
             xs, ys = [none], [none]
-            rank = np.argsort(key, kind="stable")
             picked, used = [], set()
-            for i in rank:
+            if spread:
+                names, sizes = np.unique(comp, return_counts=True)
+                members = np.flatnonzero(comp == names[np.argmax(sizes)])
+                picked = members[np.argsort(mixed(key[members].view(np.uint64) ^ token.view(np.uint64)[0]), kind="stable")[:leaders]].tolist()
+            for i in () if spread else np.argsort(key, kind="stable"):
                 if comp[i] not in used:
                     picked.append(i)
                     used.add(comp[i])
@@ -286,7 +291,7 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int):
             start = np.flatnonzero(np.r_[True, a[0][1:] != a[0][:-1]])
             out, held = [], 0
             for i, j in zip(start, np.r_[start[1:], len(a[0])], strict=True):
-                got = one(*(c[i:j] for c in a[1:]))
+                got = one(*(c[i:j] for c in a))
                 out.append(got)
                 held += len(got[0])
                 if held > 200_000:
@@ -316,10 +321,10 @@ def _two(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["x", "y"])
 
 
-def _emitted(lists: DataFrame, long_lists: bool, leaders: int | None, percent: int) -> DataFrame:
+def _emitted(lists: DataFrame, long_lists: bool, leaders: int | None, percent: int, spread: bool = False) -> DataFrame:
     rows = lists.select("token", "key", "n", "pos", "comp", "near")
     by_list = rows.repartition(count_partitions(lists.sparkSession), "token").sortWithinPartitions("token", "n", "key")
-    return by_list.mapInArrow(_pairs(long_lists, leaders, percent), "x bigint, y bigint")
+    return by_list.mapInArrow(_pairs(long_lists, leaders, percent, spread), "x bigint, y bigint")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -375,7 +380,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         near = F.when(F.col("key") == F.col("lead"), F.col("n")).otherwise(F.coalesce("near", F.lit(-1)))
         open_ = open_.join(shares, ["key", "lead"], "left").withColumn("near", near)
         turn += 1
-        more = _emitted(open_, True, None if last else LEADERS * turn, percent).distinct().join(known_, ["x", "y"], "left_anti")
+        more = _emitted(open_, True, None if last else LEADERS, percent, not last).distinct().join(known_, ["x", "y"], "left_anti")
         more = written(more, "jaccard-more")
         if not more.isEmpty():
             known_ = written(known_.unionByName(compared(more, docs, reps, size)), "jaccard-known")
