@@ -40,7 +40,8 @@ MAX_BROADCAST = 200_000
 HELD = 200_000
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+(?<=/)>"""
+    r"""|<(script|style|noscript|template|textarea|title|iframe|svg|select)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<[/!?a-zA-Z][^>]*+>""",
     re.DOTALL | re.IGNORECASE,
 )

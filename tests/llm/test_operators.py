@@ -347,6 +347,11 @@ def test_article_of_real_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("icon", ["<svg-icon></svg-icon>", "<select-box></select-box>", "<title-bar></title-bar>", '<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<svg><path d='M0'/></svg>", "<SCRIPT>x</SCRIPT >"])
+def test_markup_ends_where_it_ends(icon):
+    assert html_text.main_text(f"<article><p>before {icon}after</p><p>last</p></article>", set()) == "before after\nlast"
+
+
 # Pipeline
 
 
