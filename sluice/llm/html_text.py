@@ -47,6 +47,7 @@ _TAG = re.compile(
 )
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Elements that part blocks, and elements or names that hold no main text.
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -60,6 +61,12 @@ _NEVER_NAMES = frozenset(
 )
 #: As above, but an article's own header holds its title.
 _PAGE_ONLY = frozenset({"header", "masthead"})
+#: Words that may stand beside those in a name of the same element: "comment-list", "site-footer". Others ("has-sidebar", "comments-open") tell of something else.
+_BESIDE = frozenset("area bar block bottom box container inner item items left list links main page post posts primary right secondary section site top wrap wrapper".split())
+#: No name makes these boilerplate.
+_OWN = frozenset({"html", "body", "article", "main"})
+#: Boilerplate unless most of the page's main text stands in it; as are all elements with such a name.
+_MAY_WRAP = frozenset({"form", "dialog", "object", "header"})
 _ARTICLE = frozenset({"article", "main"})
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open element of the others.
@@ -74,35 +81,46 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _names(attributes: str) -> tuple[str, set[str]]:
-    """The name under which an element stands in its path, and the words of its id, class and role."""
+def _names(attributes: str) -> tuple[str, set[str], bool]:
+    """The name under which an element stands in its path, what its id, class or role say that it is, and whether its role is main."""
     if "=" not in attributes:
-        return "", set()
-    parts = [p for _, value in _NAME.findall(attributes) for p in _PART.findall(value.lower())]
-    return ".".join(sorted(set(parts))), set(parts)
+        return "", set(), False
+    found = [(key.lower(), token) for key, value in _NAME.findall(attributes) for token in value.strip("\"'").split()]
+    is_name = set()
+    for _, token in found:
+        parts = _PART.findall(_HUMP.sub("-", token).lower())
+        if all(p in _NEVER_NAMES or p in _PAGE_ONLY or p in _BESIDE for p in parts):
+            is_name.update(parts)
+    return ".".join(sorted({p for _, token in found for p in _PART.findall(token.lower())})), is_name, ("role", "main") in found
 
 
 class _Element:
-    __slots__ = ("tag", "path", "never", "article", "is_article")
+    """own: the names or tag that may make it boilerplate; sure: nothing within can spare it."""
 
-    def __init__(self, tag: str, path: int, never: bool, article: bool, is_article: bool) -> None:
-        self.tag, self.path, self.never, self.article, self.is_article = tag, path, never, article, is_article
+    __slots__ = ("tag", "path", "up", "own", "sure", "article", "is_article", "never", "chars", "main")
+
+    def __init__(self, tag: str, path: int, up: _Element | None, own: bool, sure: bool, is_article: bool) -> None:
+        self.tag, self.path, self.up, self.own, self.sure, self.is_article = tag, path, up, own, sure, is_article
+        self.article = is_article or up is not None and up.article
+        self.never, self.chars, self.main = False, 0, 0
 
 
 def _hash(parent: int, tag: str, name: str) -> int:
     return xxhash.xxh64_intdigest(b"%d %s %s" % (parent, tag.encode(), name.encode())) >> 1
 
 
-def parse(page: str | None) -> Iterator[tuple[int | None, list[_Element], str]]:
-    """The page in order: (path, open elements, "") for an element that opens, (None, open elements, text) for a block of text."""
+def parse(page: str | None) -> tuple[list[_Element], list[tuple[_Element, str]]]:
+    """The elements in order, from the root, and the blocks of text in order with the element that each stands in."""
     page = page or ""
-    root = _Element("", 0, False, False, False)
+    root = _Element("", 0, None, False, False, False)
+    elements, blocks = [root], []
     stack, held, at = [root], [], 0
 
-    def block() -> str:
+    def block() -> None:
         text = " ".join(html_lib.unescape("".join(held)).split())
         held.clear()
-        return text
+        if text:
+            blocks.append((stack[-1], text))
 
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -117,9 +135,7 @@ def parse(page: str | None) -> Iterator[tuple[int | None, list[_Element], str]]:
         if tag in _VOID and tag != "hr" or tag not in _BLOCKS and tag not in _NEVER:
             continue
         if held:
-            text = block()
-            if text:
-                yield None, stack, text
+            block()
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -137,22 +153,44 @@ def parse(page: str | None) -> Iterator[tuple[int | None, list[_Element], str]]:
             if stack[i].tag in _SCOPE:
                 break
         up = stack[-1]
-        name, parts = _names(m[4])
-        is_article = tag in _ARTICLE or "main" in parts and "role" in m[4].lower()
-        never = up.never or tag in _NEVER or bool(parts & _NEVER_NAMES) or not (up.article or is_article) and (tag in _PAGE_ONLY or bool(parts & _PAGE_ONLY))
-        stack.append(_Element(tag, _hash(up.path, tag, name), never, up.article or is_article, is_article))
-        yield stack[-1].path, stack, ""
+        name, is_name, role_main = _names(m[4])
+        is_article = tag in _ARTICLE or role_main
+        named = tag not in _OWN and not role_main and (bool(is_name & _NEVER_NAMES) or not up.article and bool(is_name & _PAGE_ONLY))
+        by_tag = tag in _NEVER or tag == "header" and not up.article
+        stack.append(_Element(tag, _hash(up.path, tag, name), up, named or by_tag, by_tag and tag not in _MAY_WRAP, is_article))
+        elements.append(stack[-1])
     if at < len(page):
         held.append(page[at:])
-    text = block()
-    if text:
-        yield None, stack, text
+    block()
+    _decide(elements, blocks)
+    return elements, blocks
+
+
+def _decide(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> None:
+    """Which elements are never main text. A name or a wrapping tag does not count for an element that holds most of the page's articles or, without any, of its text."""
+    for e in elements[1:]:
+        e.never = e.up.never or e.sure
+    for e, text in blocks:
+        if not e.never:
+            e.chars += len(text)
+            e.main += len(text) if e.article else 0
+    for e in reversed(elements[1:]):
+        e.up.chars += e.chars
+        e.up.main += e.main
+    root = elements[0]
+    for e in elements[1:]:
+        wraps = 2 * e.main > root.main if root.main and not e.up.article else 2 * e.chars > root.chars
+        e.never = e.up.never or e.own and (e.sure or not wraps)
+    if root.main and all(e.never for e, _ in blocks if e.article):
+        # All articles are spread over such elements.
+        for e in elements[1:]:
+            e.never = e.up.never or e.own and (e.sure or not (e.main and not e.up.article))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, parent, article, never, pages, n, sig, chars), combined within the task."""
-    names = ["host", "path", "parent", "article", "never", "pages", "n", "sig", "chars"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """(host, path, parent, articles, nevers, pages, n, sig, chars), combined within the task."""
+    names = ["host", "path", "parent", "articles", "nevers", "pages", "n", "sig", "chars"]
+    types = [pa.string(), *[pa.int64()] * 8]
     sums: dict[tuple, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
@@ -163,22 +201,28 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host = host_of(url)
-            seen: dict[int, list] = {0: [1, 0, 0, False, False]}
-            for path, stack, text in parse(page):
-                if path is None:
-                    for e in stack:
-                        seen[e.path][1] += len(text)
-                elif path in seen:
-                    seen[path][0] += 1
-                else:
-                    seen[path] = [1, 0, stack[-2].path, stack[-1].is_article, stack[-1].never]
+            elements, blocks = parse(page)
+            seen: dict[int, list[int]] = {}
+            for e in elements:
+                # A path is an article or boilerplate on a page if all its elements are.
+                s = seen.setdefault(e.path, [e.up.path if e.up else 0, 1, 1, 0, 0])
+                s[1] &= e.is_article
+                s[2] &= e.never
+                s[3] += 1
+            for e, text in blocks:
+                if not e.never:
+                    while e is not None:
+                        seen[e.path][4] += len(text)
+                        e = e.up
             name = xxhash.xxh64_intdigest(f"{url}\0{page}".encode("utf-8", "surrogatepass"))
-            for path, (n, chars, parent, article, never) in seen.items():
-                s = sums.setdefault((host, path, parent, article, never), [0, 0, 0, 0])
-                s[0] += 1
-                s[1] += n
-                s[2] ^= xxhash.xxh64_intdigest(b"%d %d" % (name, n)) >> 1
-                s[3] += chars
+            for path, (parent, article, never, n, chars) in seen.items():
+                s = sums.setdefault((host, path, parent), [0, 0, 0, 0, 0, 0])
+                s[0] += article
+                s[1] += never
+                s[2] += 1
+                s[3] += n
+                s[4] ^= xxhash.xxh64_intdigest(b"%d %d" % (name, n)) >> 1
+                s[5] += chars
         if len(sums) >= HELD:
             yield flush()
     if sums:
@@ -199,8 +243,8 @@ def _slots(rows: pd.DataFrame) -> list[int]:
     for path, parent, single in sorted(zip(frequent["path"], frequent["parent"], size < MIN_TOKENS, strict=True), key=lambda r: _depth(of, r[0])):
         if parent in template and (path in valid or single):
             template.add(path)
-    inside = frequent[frequent["path"].isin(template) & ~frequent["never"]]
-    marked = inside[inside["article"] & (inside["chars"] > 0)]
+    inside = frequent[frequent["path"].isin(template) & (2 * frequent["nevers"] <= frequent["pages"])]
+    marked = inside[(2 * inside["articles"] > inside["pages"]) & (inside["chars"] > 0)]
     if len(marked):
         outer = set(marked["path"])
         return sorted(p for p in outer if not _above(of, p) & outer)
@@ -208,8 +252,7 @@ def _slots(rows: pd.DataFrame) -> list[int]:
     at = 0
     while True:
         below = inside[inside["parent"] == at].sort_values(["chars", "path"])
-        spoilt = rows[(rows["parent"] == at) & rows["never"]]["chars"].sum()
-        if not len(below) or below["chars"].iloc[-1] < 0.7 * (of.at[at, "chars"] - spoilt) or below["n"].iloc[-1] > below["pages"].iloc[-1]:
+        if not len(below) or below["chars"].iloc[-1] < 0.7 * of.at[at, "chars"] or below["n"].iloc[-1] > below["pages"].iloc[-1]:
             return [at] if at else []
         at = int(below["path"].iloc[-1])
 
@@ -228,9 +271,9 @@ def _depth(of: pd.DataFrame, path: int) -> int:
 
 def templates(pages: DataFrame) -> DataFrame:
     """pages: (url, html). (host, slots): for each host, the paths of its article slots."""
-    schema = "host string, path bigint, parent bigint, article boolean, never boolean, pages bigint, n bigint, sig bigint, chars bigint"
+    schema = "host string, path bigint, parent bigint, articles bigint, nevers bigint, pages bigint, n bigint, sig bigint, chars bigint"
     tokens = pages.select("url", "html").mapInArrow(_tokens, schema)
-    sums = tokens.groupBy("host", "path", "parent", "article", "never").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars"))
+    sums = tokens.groupBy("host", "path", "parent").agg(*(F.sum(c).alias(c) for c in ("articles", "nevers", "pages", "n")), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars"))
 
     def of_host(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "slots": [_slots(rows.drop_duplicates("path"))]})
@@ -240,17 +283,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(page: str | None, slots: set[int]) -> str:
     """The blocks of a page's article slots; of all that may be main text, if it has none of the slots."""
-    inside, anywhere, met = [], [], False
-    for path, stack, text in parse(page):
-        if path is not None:
-            met = met or path in slots
-            continue
-        if stack[-1].never:
-            continue
-        anywhere.append(text)
-        if slots and any(e.path in slots for e in stack):
-            inside.append(text)
-    return "\n".join(inside if met else anywhere)
+    elements, blocks = parse(page)
+    kept = [(e, text) for e, text in blocks if not e.never]
+    slotted = set()
+    for e in elements:
+        if e.path in slots or id(e.up) in slotted:
+            slotted.add(id(e))
+    return "\n".join(text for e, text in kept if not slotted or id(e) in slotted)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

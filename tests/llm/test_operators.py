@@ -352,6 +352,21 @@ def test_markup_ends_where_it_ends(icon):
     assert html_text.main_text(f"<article><p>before {icon}after</p><p>last</p></article>", set()) == "before after\nlast"
 
 
+WRAPPERS = ["<body class='single-post no-sidebar'>{}</body>", "<div class='content has-sidebar'>{}</div>", "<div id='social-policy'>{}</div>", "<div class='sidebar-left'>{}</div>", "<form><div>{}</div></form>", "<main class='widget'>{}</main>"]
+
+
+@pytest.mark.parametrize("wrapper", [*WRAPPERS, "<article class='post comments-open'>{}</article>"])
+@pytest.mark.parametrize("inner", ["<p>one two three</p><p>four five six</p>", "<article><p>one two three</p><p>four five six</p></article>"])
+def test_names_of_wrappers_drop_no_text(wrapper, inner):
+    page = wrapper.format("<div class='comment-list'>Nice</div>" + inner + "<div id='siteFooter'>me</div>")
+    assert html_text.main_text(page, set()) == "one two three\nfour five six"
+
+
+def test_articles_spread_over_named_elements():
+    page = "<nav>menu</nav>" + "".join(f"<div class='widget'><article><p>text {i}</p></article></div>" for i in range(3))
+    assert html_text.main_text(page, set()) == "text 0\ntext 1\ntext 2"
+
+
 # Pipeline
 
 
