@@ -188,9 +188,9 @@ def _decide(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> Non
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, parent, articles, nevers, pages, n, sig, chars), combined within the task."""
-    names = ["host", "path", "parent", "articles", "nevers", "pages", "n", "sig", "chars"]
-    types = [pa.string(), *[pa.int64()] * 8]
+    """(host, path, parent, articles, nevers, pages, n, sig, chars, direct), combined within the task."""
+    names = ["host", "path", "parent", "articles", "nevers", "pages", "n", "sig", "chars", "direct"]
+    types = [pa.string(), *[pa.int64()] * 9]
     sums: dict[tuple, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
@@ -205,24 +205,26 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[int, list[int]] = {}
             for e in elements:
                 # A path is an article or boilerplate on a page if all its elements are.
-                s = seen.setdefault(e.path, [e.up.path if e.up else 0, 1, 1, 0, 0])
+                s = seen.setdefault(e.path, [e.up.path if e.up else 0, 1, 1, 0, 0, 0])
                 s[1] &= e.is_article
                 s[2] &= e.never
                 s[3] += 1
             for e, text in blocks:
                 if not e.never:
+                    seen[e.path][5] += len(text)
                     while e is not None:
                         seen[e.path][4] += len(text)
                         e = e.up
             name = xxhash.xxh64_intdigest(f"{url}\0{page}".encode("utf-8", "surrogatepass"))
-            for path, (parent, article, never, n, chars) in seen.items():
-                s = sums.setdefault((host, path, parent), [0, 0, 0, 0, 0, 0])
+            for path, (parent, article, never, n, chars, direct) in seen.items():
+                s = sums.setdefault((host, path, parent), [0, 0, 0, 0, 0, 0, 0])
                 s[0] += article
                 s[1] += never
                 s[2] += 1
                 s[3] += n
                 s[4] ^= xxhash.xxh64_intdigest(b"%d %d" % (name, n)) >> 1
                 s[5] += chars
+                s[6] += direct
         if len(sums) >= HELD:
             yield flush()
     if sums:
@@ -248,13 +250,27 @@ def _slots(rows: pd.DataFrame) -> list[int]:
     if len(marked):
         outer = set(marked["path"])
         return sorted(p for p in outer if not _above(of, p) & outer)
-    # No element says that it is the article: the deepest slot that holds most of the text that may be main text.
-    at = 0
-    while True:
-        below = inside[inside["parent"] == at].sort_values(["chars", "path"])
-        if not len(below) or below["chars"].iloc[-1] < 0.7 * of.at[at, "chars"] or below["n"].iloc[-1] > below["pages"].iloc[-1]:
-            return [at] if at else []
-        at = int(below["path"].iloc[-1])
+    # No element says that it is the article: the lowest slot that holds all text that may be main text.
+    return _lowest(of, rows[rows["direct"] > 0]["path"], template)
+
+
+def _lowest(of: pd.DataFrame, texts: pd.Series, template: set[int]) -> list[int]:
+    """The lowest element of the template that holds all of some paths; none if that is the root."""
+    common: list[int] | None = None
+    for path in texts:
+        line = _line(of, int(path))
+        common = line if common is None else [a for a, b in zip(common, line, strict=False) if a == b]
+    at = next((p for p in reversed(common or []) if p in template), 0)
+    return [at] if at else []
+
+
+def _line(of: pd.DataFrame, path: int) -> list[int]:
+    """A path and all that it hangs below, from the root."""
+    out = [path]
+    while path:
+        path = int(of.at[path, "parent"])
+        out.append(path)
+    return out[::-1]
 
 
 def _above(of: pd.DataFrame, path: int) -> set[int]:
@@ -271,25 +287,25 @@ def _depth(of: pd.DataFrame, path: int) -> int:
 
 def templates(pages: DataFrame) -> DataFrame:
     """pages: (url, html). (host, slots): for each host, the paths of its article slots."""
-    schema = "host string, path bigint, parent bigint, articles bigint, nevers bigint, pages bigint, n bigint, sig bigint, chars bigint"
+    schema = "host string, path bigint, parent bigint, articles bigint, nevers bigint, pages bigint, n bigint, sig bigint, chars bigint, direct bigint"
     tokens = pages.select("url", "html").mapInArrow(_tokens, schema)
-    sums = tokens.groupBy("host", "path", "parent").agg(*(F.sum(c).alias(c) for c in ("articles", "nevers", "pages", "n")), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars"))
+    sums = tokens.groupBy("host", "path", "parent").agg(*(F.sum(c).alias(c) for c in ("articles", "nevers", "pages", "n")), F.bit_xor("sig").alias("sig"), *(F.sum(c).alias(c) for c in ("chars", "direct")))
 
     def of_host(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "slots": [_slots(rows.drop_duplicates("path"))]})
+        return pd.DataFrame({"host": [key[0]], "slots": [_slots(rows)]})
 
     return sums.groupBy("host").applyInPandas(of_host, "host string, slots array<bigint>")
 
 
 def main_text(page: str | None, slots: set[int]) -> str:
-    """The blocks of a page's article slots; of all that may be main text, if it has none of the slots."""
+    """The blocks of a page's article slots; of all that may be main text, if it has no such text in them."""
     elements, blocks = parse(page)
     kept = [(e, text) for e, text in blocks if not e.never]
     slotted = set()
     for e in elements:
         if e.path in slots or id(e.up) in slotted:
             slotted.add(id(e))
-    return "\n".join(text for e, text in kept if not slotted or id(e) in slotted)
+    return "\n".join([text for e, text in kept if id(e) in slotted] or [text for _, text in kept])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -367,6 +367,16 @@ def test_articles_spread_over_named_elements():
     assert html_text.main_text(page, set()) == "text 0\ntext 1\ntext 2"
 
 
+def test_pages_without_article_keep_all_their_text(spark):
+    long = "word " * 60
+    pages = [("http://one.example.com/", f"<div id=c><h1>title</h1><p>{long}</p></div>", f"title\n{long.strip()}")]
+    pages += [(f"http://two.example.com/{i}", f"<div id=c><div class=intro>intro {i} {long[:60]}</div><div class=text>text {i} {long[:180]}</div></div>", f"intro {i} {long[:60].strip()}\ntext {i} {long[:180].strip()}") for i in range(5)]
+    pages += [(f"http://odd.example.com/{i}", f"<div id=c><div class=text>text {i} {long}</div></div>" + f"<div class=more>rest {i}</div>" * (i == 2), f"text {i} {long.strip()}" + f"\nrest {i}" * (i == 2)) for i in range(5)]
+    pages += [(f"http://gap.example.com/{i}", "<article></article><p>only here</p>" if i == 2 else f"<article>text {i}</article>", "only here" if i == 2 else f"text {i}") for i in range(5)]
+    rows = html_text.extract_text(spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: t for i, (_, _, t) in enumerate(pages)}
+
+
 # Pipeline
 
 
