@@ -1,14 +1,17 @@
 """HTML extraction by template deduction over the pages of a host.
 
-Tokens are elements under their path from the root (tag, id and class). Two
-tokens of a host are equivalent if their occurrence vectors agree: they stand
-equally often in each page. Vectors are never gathered; a token's vector is
-summed up in a few numbers (pages, occurrences, xor of hashes of page and
-count), which partial aggregation combines, so a host of any size costs one row
-a token and task. Classes that are frequent and have several tokens, and whose
-tokens hang below another valid class, nest into the host's template; what its
-slots hold is known from their elements' roles and their share of the host's
-text. The slots of the article are then extracted from each page.
+Tokens are elements under their path from the root (tag, id and class), and the
+words that stand directly in them. Two tokens of a host are equivalent if their
+occurrence vectors agree: they stand equally often in each page. Vectors are
+never gathered; an element's vector is summed up in a few numbers (pages,
+occurrences, sum of hashes of page and count), and its words are of its class if
+the least and the largest hash of them over the pages agree. Partial aggregation
+combines both, so a host of any size costs one row a path and task. A class is
+valid if it is frequent and has several tokens; elements of valid classes, and
+those that stand directly in one, make the host's template as far as all that
+they hang below is in it. Words of a valid class are template text; all other
+text fills slots. The article's slots are the template's elements with that
+role or, without any, the lowest one that holds all text that fills slots.
 
 Defined results: a null or empty html has an empty text; a null url is the host
 ""; a page that lacks its host's article slots is read outside of all elements
@@ -34,6 +37,8 @@ from sluice.llm.common import table, written
 #: A class is frequent if it stands in so large a part of its host's pages, and large with so many tokens.
 MIN_SUPPORT = 0.5
 MIN_TOKENS = 2
+#: Pages that words must stand in to be known as fixed.
+MIN_PAGES = 3
 #: Rows of the template table that may be broadcast; beyond them the pages are joined by a shuffle.
 MAX_BROADCAST = 200_000
 #: Tokens that a task holds before it passes its sums on.
@@ -188,9 +193,9 @@ def _decide(elements: list[_Element], blocks: list[tuple[_Element, str]]) -> Non
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, parent, articles, nevers, pages, n, sig, chars, direct), combined within the task."""
-    names = ["host", "path", "parent", "articles", "nevers", "pages", "n", "sig", "chars", "direct"]
-    types = [pa.string(), *[pa.int64()] * 9]
+    """(host, path, parent, articles, nevers, pages, n, sig, chars, direct, least, most), combined within the task."""
+    names = ["host", "path", "parent", "articles", "nevers", "pages", "n", "sig", "chars", "direct", "least", "most"]
+    types = [pa.string(), *[pa.int64()] * 11]
     sums: dict[tuple, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
@@ -203,6 +208,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             elements, blocks = parse(page)
             seen: dict[int, list[int]] = {}
+            words: dict[int, list[str]] = {}
             for e in elements:
                 # A path is an article or boilerplate on a page if all its elements are.
                 s = seen.setdefault(e.path, [e.up.path if e.up else 0, 1, 1, 0, 0, 0])
@@ -212,19 +218,23 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e, text in blocks:
                 if not e.never:
                     seen[e.path][5] += len(text)
+                    words.setdefault(e.path, []).append(text)
                     while e is not None:
                         seen[e.path][4] += len(text)
                         e = e.up
             name = xxhash.xxh64_intdigest(f"{url}\0{page}".encode("utf-8", "surrogatepass"))
             for path, (parent, article, never, n, chars, direct) in seen.items():
-                s = sums.setdefault((host, path, parent), [0, 0, 0, 0, 0, 0, 0])
+                said = xxhash.xxh64_intdigest("\n".join(words[path]).encode("utf-8", "surrogatepass")) >> 1 if path in words else 0
+                s = sums.setdefault((host, path, parent), [0, 0, 0, 0, 0, 0, 0, said, said])
                 s[0] += article
                 s[1] += never
                 s[2] += 1
                 s[3] += n
-                s[4] ^= xxhash.xxh64_intdigest(b"%d %d" % (name, n)) >> 1
+                s[4] += xxhash.xxh64_intdigest(b"%d %d" % (name, n)) >> 32
                 s[5] += chars
                 s[6] += direct
+                s[7] = min(s[7], said)
+                s[8] = max(s[8], said)
         if len(sums) >= HELD:
             yield flush()
     if sums:
@@ -233,63 +243,54 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slots(rows: pd.DataFrame) -> list[int]:
     """The article slots of a host's template: paths under which main text stands. rows: the host's tokens."""
-    of = rows.set_index("path")
-    pages = int(of.at[0, "pages"])
+    up = dict(zip(rows["path"].tolist(), rows["parent"].tolist(), strict=True))
+    pages = int(rows.loc[rows["path"] == 0, "pages"].iloc[0])
     rows = rows[rows["path"] != 0]
     frequent = rows[rows["pages"] >= MIN_SUPPORT * pages]
-    # Equivalence classes: tokens with one occurrence vector.
-    size = frequent.groupby(["pages", "n", "sig"])["path"].transform("size")
-    valid = set(frequent.loc[size >= MIN_TOKENS, "path"])
-    # Nested: a token counts if all that it hangs below is in the template; a single token may repeat inside one (a list's items).
+    # Equivalence classes: tokens with one occurrence vector. Words that never change are of their element's class.
+    fixed = (frequent["least"] == frequent["most"]) & (frequent["direct"] > 0) & (frequent["pages"] >= MIN_PAGES)
+    size = (1 + fixed).groupby([frequent[c] for c in ("pages", "n", "sig")]).transform("sum")
+    valid = {0, *frequent.loc[size >= MIN_TOKENS, "path"].tolist()}
+    # Nested: all that a token hangs below is in the template; one without a valid class stands directly in a valid one (a list's items).
     template: set[int] = {0}
-    for path, parent, single in sorted(zip(frequent["path"], frequent["parent"], size < MIN_TOKENS, strict=True), key=lambda r: _depth(of, r[0])):
-        if parent in template and (path in valid or single):
+    for path in sorted(frequent["path"].tolist(), key=lambda p: len(_line(up, p))):
+        if up[path] in template and (path in valid or up[path] in valid):
             template.add(path)
-    inside = frequent[frequent["path"].isin(template) & (2 * frequent["nevers"] <= frequent["pages"])]
+    in_template = frequent["path"].isin(template)
+    inside = frequent[in_template & (2 * frequent["nevers"] <= frequent["pages"])]
     marked = inside[(2 * inside["articles"] > inside["pages"]) & (inside["chars"] > 0)]
     if len(marked):
-        outer = set(marked["path"])
-        return sorted(p for p in outer if not _above(of, p) & outer)
-    # No element says that it is the article: the lowest slot that holds all text that may be main text.
-    return _lowest(of, rows[rows["direct"] > 0]["path"], template)
+        outer = set(marked["path"].tolist())
+        return sorted(p for p in outer if not outer & set(_line(up, p)[:-1]))
+    words = set(frequent.loc[fixed & in_template & frequent["path"].isin(valid), "path"].tolist())
+    return _lowest(up, [p for p in rows.loc[rows["direct"] > 0, "path"].tolist() if p not in words], template)
 
 
-def _lowest(of: pd.DataFrame, texts: pd.Series, template: set[int]) -> list[int]:
+def _lowest(up: dict[int, int], texts: list[int], template: set[int]) -> list[int]:
     """The lowest element of the template that holds all of some paths; none if that is the root."""
     common: list[int] | None = None
     for path in texts:
-        line = _line(of, int(path))
+        line = _line(up, path)
         common = line if common is None else [a for a, b in zip(common, line, strict=False) if a == b]
     at = next((p for p in reversed(common or []) if p in template), 0)
     return [at] if at else []
 
 
-def _line(of: pd.DataFrame, path: int) -> list[int]:
+def _line(up: dict[int, int], path: int) -> list[int]:
     """A path and all that it hangs below, from the root."""
     out = [path]
     while path:
-        path = int(of.at[path, "parent"])
+        path = up[path]
         out.append(path)
     return out[::-1]
 
 
-def _above(of: pd.DataFrame, path: int) -> set[int]:
-    out = set()
-    while path:
-        path = int(of.at[path, "parent"])
-        out.add(path)
-    return out
-
-
-def _depth(of: pd.DataFrame, path: int) -> int:
-    return len(_above(of, path))
-
-
 def templates(pages: DataFrame) -> DataFrame:
     """pages: (url, html). (host, slots): for each host, the paths of its article slots."""
-    schema = "host string, path bigint, parent bigint, articles bigint, nevers bigint, pages bigint, n bigint, sig bigint, chars bigint, direct bigint"
+    schema = "host string, path bigint, parent bigint, articles bigint, nevers bigint, pages bigint, n bigint, sig bigint, chars bigint, direct bigint, least bigint, most bigint"
     tokens = pages.select("url", "html").mapInArrow(_tokens, schema)
-    sums = tokens.groupBy("host", "path", "parent").agg(*(F.sum(c).alias(c) for c in ("articles", "nevers", "pages", "n")), F.bit_xor("sig").alias("sig"), *(F.sum(c).alias(c) for c in ("chars", "direct")))
+    added = (F.sum(c).alias(c) for c in ("articles", "nevers", "pages", "n", "sig", "chars", "direct"))
+    sums = tokens.groupBy("host", "path", "parent").agg(*added, F.min("least").alias("least"), F.max("most").alias("most"))
 
     def of_host(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "slots": [_slots(rows)]})

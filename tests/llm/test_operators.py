@@ -377,6 +377,17 @@ def test_pages_without_article_keep_all_their_text(spark):
     assert {r.page_id: r.text for r in rows} == {i: t for i, (_, _, t) in enumerate(pages)}
 
 
+def test_classes_tell_template_text_from_slots(spark):
+    page = "<body><div id=top><p>Our town since 1990</p></div><div id=c><h1>title {i}</h1><p>always here</p><p>{w}</p></div><div id=end>Made by us</div></body>"
+    pages = [(i, f"http://a.example.com/{i}", page.format(i=i, w="word " * (i + 3))) for i in range(5)] + [(9, "http://b.example.com/", page.format(i=9, w="x"))]
+    # No other token stands as often as each of these two, so neither is in the template.
+    pages += [(10 + i, f"http://c.example.com/{i}", "<body>" + "<section>" * (i > 0) + f"<i>a{i}</i>" + f"<article>text {i}</article>" * (i > 1) + "</section>" * (i > 0) + f"<p>tail {i}</p></body>") for i in range(5)]
+    rows = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert rows[3] == "title 3\nalways here\n" + ("word " * 6).strip()
+    assert rows[9] == "Our town since 1990\ntitle 9\nalways here\nx\nMade by us"
+    assert rows[13] == "a3\ntext 3\ntail 3"
+
+
 # Pipeline
 
 
