@@ -210,6 +210,12 @@ def replica_tuples(spark, sf_dir):
     return assign.replica_pairs(workers, "s_suppkey", "name")
 
 
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey", False)
+def replica_tuples_whole(spark, sf_dir):
+    """Over a table that is small as a whole."""
+    return assign.replica_pairs(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", "n_name")
+
+
 @query(f"SELECT group_id, epoch_id + (group_id % 3 = 0)::INT AS epoch_id, start_partition, end_partition, pair FROM ({_GROUPS})", False)
 def group_reallocate(spark, sf_dir):
     groups = assign.partition_groups(spark, 1002, 1000, 6)
@@ -345,6 +351,11 @@ def stream_exactly_once(spark, sf_dir):
     return streaming.dedup_stream_totals(spark, sf_dir, 3)
 
 
+@query("SELECT reducer_id, count(*) AS n, round(sum(value), 2) AS total FROM base GROUP BY 1")
+def stream_exactly_once_whole(spark, sf_dir):
+    return streaming.dedup_stream_by_reducer(spark, sf_dir)
+
+
 # Life cycle
 
 
@@ -400,8 +411,9 @@ def key_parse(spark, sf_dir):
 
 @query("SELECT event_id, event_id * 1099511627776 + (user_id % 8192) * 134217728 + event_id * 7 AS pointer, event_id AS part, user_id % 8192 AS page, event_id * 7 AS off FROM events WHERE event_id < 8000000", False)
 def pointer_pack(spark, sf_dir):
-    e = workload.events(spark, sf_dir).where("event_id < 8000000")
-    packed = e.select("event_id", keys.pack_pointer(F.col("event_id"), F.col("user_id") % 8192, F.col("event_id") * 7).alias("pointer"))
+    # As values: a partition whose pointer is positive, and an offset in a page.
+    part, off = F.pmod("event_id", F.lit(1 << keys.PARTITION_BITS - 1)), F.pmod(F.col("event_id") * 7, F.lit(1 << keys.OFFSET_BITS))
+    packed = workload.events(spark, sf_dir).select("event_id", keys.pack_pointer(part, F.pmod("user_id", F.lit(1 << keys.PAGE_BITS)), off).alias("pointer"))
     return packed.select("event_id", "pointer", *(c.alias(n) for c, n in zip(keys.unpack_pointer(F.col("pointer")), ("part", "page", "off"), strict=True)))
 
 

@@ -31,10 +31,21 @@ def batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dedup_stream_totals(spark: SparkSession, sf_dir: str, reducer: int) -> DataFrame:
-    """One reducer's rows and sum, after all that is available has streamed through."""
+def _streamed(batches: DataFrame) -> DataFrame:
+    """What comes out of the exactly-once read after all that is available has streamed through."""
+    spark = batches.sparkSession
     out, state = scratch(spark, "stream"), scratch(spark, "stream-state")
-    rows = exactly_once(batch_stream(spark, sf_dir).where(F.col("reducer_id") == reducer), "ts", "3650 days")
+    rows = exactly_once(batches, "ts", "3650 days")
     run = rows.select("reducer_id", "batch_id", "value").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return spark.read.parquet(out)
+
+
+def dedup_stream_totals(spark: SparkSession, sf_dir: str, reducer: int) -> DataFrame:
+    """One reducer's rows and sum."""
+    return _streamed(batch_stream(spark, sf_dir).where(F.col("reducer_id") == reducer)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def dedup_stream_by_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reducer's rows and sum."""
+    return _streamed(batch_stream(spark, sf_dir)).groupBy("reducer_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))

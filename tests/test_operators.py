@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sluice import conf, model
 from sluice.functions import codec, units
 from sluice.operators import assign, commit, exchange, metrics, pack, read
+from sluice.plans import catalogue
 from sluice.sources import frames, store
 
 
@@ -150,3 +151,16 @@ def test_store_prunes_reducers(spark, tmp_path):
 def test_combine_is_map_side(spark):
     df = exchange.hash_exchange(spark.range(10), 4, "id").groupBy((F.col("id") % 2).alias("k")).agg(F.sum("id"))
     assert "partial_sum" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pointers_of_all_events(spark, tmp_path):
+    ids = [0, 7_999_999, 8_000_000, 8_388_608, 20_000_000, 3_000_000_000]
+    spark.createDataFrame([(i, 5) for i in ids], "event_id bigint, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    rows = {r.event_id: (r.part, r.page, r.off) for r in catalogue.QUERIES["pointer_pack"](spark, str(tmp_path)).collect()}
+    assert rows == {i: (i % 2**23, 5, i * 7 % 2**27) for i in ids}
+
+
+def test_pairs_and_streams_of_whole_tables(spark):
+    assert catalogue.QUERIES["replica_tuples_whole"](spark, "/root/testdata/sf0.001").count() == 25 * 24 // 2
+    rows = catalogue.QUERIES["stream_exactly_once_whole"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.reducer_id for r in rows} == set(range(8)) and sum(r.n for r in rows) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
