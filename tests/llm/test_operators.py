@@ -135,6 +135,22 @@ def test_whole_licences(spark):
     assert rows[3].notices == "Apache-2.0,all-rights-reserved"
 
 
+def test_whole_texts_and_runs_of_blocks(spark):
+    bsd = dict(licenses.WHOLE)["BSD-3-Clause"]
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and "granted" in t)
+    apache = open("/usr/share/common-licenses/Apache-2.0").read()
+    texts = [bsd, "Copyright (c) 2020 A\n\n" + bsd, "Read me\n\n" + mit.replace("\n\n", "\n\nCopyright (c) 2020 B\n\n", 1) + "\n\nmore", "head\n\n" + apache + "\n\ntail", apache, "All rights\nreserved.", mit[: len(mit) // 2]]
+    rows = licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == ["BSD-3-Clause", "BSD-3-Clause", None, None, "Apache-2.0", "all-rights-reserved", None]
+    assert [r.notices for r in rows] == ["BSD-3-Clause", "BSD-3-Clause", "MIT", "Apache-2.0", "Apache-2.0", "all-rights-reserved", ""]
+
+
+def test_the_prefilter_follows_the_known_texts(spark):
+    known = (("x", "Redistribution and use are fine."), ("y", "Nutzung frei\n\nfür alle"), ("z", "Sub-License while version 2.0"))
+    rows = licenses.scan_licenses(docs_of(spark, ["a\nREDISTRIBUTION and use are fine\nb", "a\n\nNutzung frei\n\n für alle.\n\nb", "a\nsublicense whilst version 2\n"]), known=known).orderBy("doc_id").collect()
+    assert [r.notices for r in rows] == ["x", "y", "z"]
+
+
 # Mixing
 
 
