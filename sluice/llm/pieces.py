@@ -47,6 +47,8 @@ THETA = 0.6
 RANK_SHIFT = 10.0
 #: Code points that are segmented at a time.
 CHUNK = 1_500_000
+#: Sums along a text are made of integer multiples of this, which are exact in any order: 2 ** 63 of them are 3e7 nats.
+_GRAIN = 2.0**-38
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _U = np.uint64
@@ -73,6 +75,8 @@ class Vocabulary:
                 if not _UNIT.fullmatch(p) or (p[0] != SPACE and SPACE in p) or len(p.lstrip(SPACE)) + 1 < len(p) != p.count(SPACE):
                     raise ValueError(f"piece {p!r} spans the start of a word")
                 normal.append((p, i))
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.begins, self.all_bytes = np.cumsum(self.n_bytes) - self.n_bytes, np.frombuffer(b"".join(self.bytes_of), np.uint8)
         rank = np.arange(len(normal)) + RANK_SHIFT
         self.log_p = np.full(n, -np.inf)
         self.log_p[[i for _, i in normal]] = -np.log(rank) - np.log((1 / rank).sum())
@@ -119,6 +123,20 @@ class Vocabulary:
         raw = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return raw.replace(SPACE, " ")[1:]
 
+    def spells(self, ids: np.ndarray, n_ids: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Which texts the bytes of their pieces are; ids of one text follow those of another."""
+        sizes = self.n_bytes[ids]
+        made = self.all_bytes[_ragged(self.begins[ids], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(n_ids)]
+        n_made = np.diff(np.r_[0, ends])
+        n_raw = np.array([len(r) for r in raw], np.int64)
+        same = n_made == n_raw
+        if same.all():
+            wrong = np.flatnonzero(made != np.frombuffer(b"".join(raw), np.uint8))
+            same[np.searchsorted(ends, wrong, side="right")] = False
+            return same
+        return np.array([ok and made[e - m : e].tobytes() == r for ok, e, m, r in zip(same.tolist(), ends.tolist(), n_made.tolist(), raw, strict=True)], bool)
+
     def normalize(self, text: str) -> str:
         return self.sp.normalize(text) if text else ""
 
@@ -129,27 +147,93 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @np.errstate(over="ignore")
+def _mixed(state: np.ndarray, nth: int, part) -> np.ndarray:
+    """A state of the hash with its nth part taken in."""
+    x = state + (np.asarray(part).astype(np.int64).view(_U) + _U(nth)) * _U(0x9E3779B97F4A7C15)
+    t = x >> _U(30)
+    x ^= t
+    x *= _U(0xBF58476D1CE4E5B9)
+    np.right_shift(x, _U(27), out=t)
+    x ^= t
+    x *= _U(0x94D049BB133111EB)
+    np.right_shift(x, _U(31), out=t)
+    x ^= t
+    return x
+
+
+def _fraction(state: np.ndarray) -> np.ndarray:
+    """In (0, 1)."""
+    x = (state >> _U(11)).astype(float)
+    x += 0.5
+    x *= 2.0**-53
+    return x
+
+
 def _uniform(seed: np.ndarray, *parts) -> np.ndarray:
     """In (0, 1), a hash of its arguments."""
-    x = seed
     for i, p in enumerate(parts):
-        x = x + (np.asarray(p).astype(np.int64).view(_U) + _U(i + 1)) * _U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        x = x ^ (x >> _U(31))
-    return ((x >> _U(11)).astype(float) + 0.5) * 2.0**-53
+        seed = _mixed(seed, i + 1, p)
+    return _fraction(seed)
+
+
+def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces cannot cross: code points of all texts, units a text, and begins and sizes of the units.
+
+    A unit is a line end, or a word with the marks in front of it, or marks without a word.
+    """
+    cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.zeros(len(cps) + 1, bool)
+    first[np.cumsum(sizes) - sizes] = True
+    first = first[:-1]
+    line, mark = cps == 0x0A, cps == ord(SPACE)
+    first |= line
+    first[1:] |= line[:-1] | mark[1:] & ~mark[:-1]
+    begins = np.flatnonzero(first)
+    per_text = np.diff(np.searchsorted(begins, np.r_[0, np.cumsum(sizes)]))
+    return cps, per_text, begins, np.diff(np.r_[begins, len(cps)])
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse, up to 2 ** bits of them."""
+    out = []
+    for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+        p = np.ones(1, _U)
+        for k in range(bits):
+            p = np.concatenate([p, p * _U(pow(base, 1 << k, 1 << 64))])
+        out.append(p)
+    return out[0], out[1]
+
+
+@np.errstate(over="ignore")
+def _distinct(cps: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit the number of its content, and for each content the first unit that has it. By 64-bit hashes; the round trip would show a collision."""
+    up, down = _powers(max(16, len(cps).bit_length()))
+    values = cps.astype(_U)
+    values += _U(1)
+    values *= _U(0xD6E8FEB86659FD93)
+    values ^= values >> _U(32)
+    values *= up[: len(cps)]
+    sums = np.cumsum(values)
+    h = sums[begins + sizes - 1]
+    h[1:] -= sums[begins[1:] - 1]
+    h = _mixed(h * down[begins], 1, sizes)
+    codes, found = pd.factorize(h)
+    firsts = np.empty(len(found), np.int64)
+    firsts[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, firsts
 
 
 class Lattice:
     """Lattices of some distinct words side by side; nodes stand by their distance from their word's end."""
 
-    def __init__(self, v: Vocabulary, units: list[str], theta: float) -> None:
-        sizes = np.array([len(u) for u in units], np.int64)
-        cps = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def __init__(self, v: Vocabulary, cps: np.ndarray, sizes: np.ndarray, theta: float) -> None:
+        """cps: the words' code points one after another; sizes: how many each has."""
         n = len(cps)
         stop = np.repeat(np.cumsum(sizes), sizes)
         left = stop - np.arange(n)  # code points up to the word's end
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
@@ -205,27 +289,33 @@ class Lattice:
             beta[a:b] = top + np.log(np.add.reduceat(np.exp(x - top[owner[lo:hi] - a]), offs))
         self.log_p = np.minimum(self.w + beta[self.end] - beta[owner], 0.0)
         self.p = np.exp(self.log_p)
+        self.grains = np.rint(self.log_p / _GRAIN).astype(np.int64)
+        self.degree = degree[order]
+        # What a node's other edges hold; -inf where there are none.
+        self.log_rest = np.log1p(-np.minimum(self.p, 1 - 1e-16))
+        self.log_rest[(self.p >= 1 - 1e-15) | (self.degree[owner] == 1)] = -np.inf
         # Sums within a node only: what else is in the chunk must not touch their last bits.
         self.upto = self.p.copy()
-        wide = np.flatnonzero(degree[order] > 1)
+        wide = np.flatnonzero(self.degree > 1)
         k = 1
         while len(wide):
             e = self.first[wide] + k
             self.upto[e] += self.upto[e - 1]
             k += 1
-            wide = wide[degree[order][wide] > k]
+            wide = wide[self.degree[wide] > k]
         self.upto[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
         self.owner = owner
         self.start = rank[np.cumsum(sizes) - sizes] if n else np.zeros(0, np.int64)
 
-    def sample(self, node: np.ndarray, seed: np.ndarray, turn: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward samples from nodes to their words' ends: all edges, and how many each start has."""
+    def sample(self, node: np.ndarray, seed: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward samples from nodes to their words' ends: all edges, and how many each start has. seed: the hash of row key and turn."""
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         at = np.flatnonzero(node >= 0)
         count = np.zeros(len(node), np.int64)
         node = node[at]
+        state = _mixed(seed, 2, word)
         while len(at):
-            u = _uniform(seed[at], turn, word[at], len(steps))
+            u = _fraction(_mixed(state[at], 3, len(steps)))
             e = self.first[node]
             todo = np.flatnonzero(self.upto[e] <= u)
             while len(todo):
@@ -255,111 +345,143 @@ def _segment_max(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return best, at
 
 
+def _ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begins[i] .. begins[i] + sizes[i] - 1, for each i in turn."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
 class _Path:
     """A popped segmentation of each text of a chunk: edges, its value, and the values of the parts that it leaves."""
 
-    def __init__(self, lat: Lattice, edges: np.ndarray, sizes: np.ndarray, word: np.ndarray, g: np.ndarray, branch: np.ndarray, gone: list, seed: np.ndarray, turn: int) -> None:
+    def __init__(self, lat: Lattice, edges: np.ndarray, sizes: np.ndarray, word: np.ndarray, g: np.ndarray, branch: np.ndarray, gone: list, seed: np.ndarray) -> None:
+        """seed: the hash of row key and turn."""
         self.edges, self.sizes, self.word, self.g, self.branch, self.gone = edges, sizes, word, g, branch, gone
         self.offset = np.cumsum(sizes) - sizes
-        log_p = lat.log_p[edges]
         row = np.repeat(np.arange(len(sizes)), sizes)
-        # A sum a text, so that a text's last bits do not depend on its neighbours.
-        sums = [np.cumsum(log_p[i : i + m]) for i, m in zip(self.offset.tolist(), sizes.tolist(), strict=True)]
-        before = (np.concatenate(sums) if sums else log_p) - log_p
-        self.log_p = np.array([c[-1] if len(c) else 0.0 for c in sums])
-        out = lat.p[edges].copy()
+        # Whole numbers may run over: differences within a text are right, and do not depend on its neighbours.
+        grains = lat.grains[edges]
+        upto = np.r_[0, np.cumsum(grains)]
+        base = upto[self.offset]
+        self.log_p = (upto[self.offset + sizes] - base) * _GRAIN
         place = np.arange(len(edges)) - self.offset[row]
-        for d in np.flatnonzero(branch >= 0):
-            out[self.offset[d] + branch[d]] += sum(lat.p[e] for e in gone[d])
-        last = np.diff(lat.first)[lat.owner[edges]] == 1
-        with np.errstate(divide="ignore"):
-            mass = np.where(last | (out >= 1 - 1e-15), -np.inf, before + np.log1p(-np.minimum(out, 1.0)))
-        # Parts before the branch belong to other paths.
-        mass[place < np.maximum(branch, 0)[row]] = -np.inf
-        e = -np.log(_uniform(seed[row], turn, 1_000_003 + place, -1))
-        self.value = -np.logaddexp(-g[row], np.log(e) - mass)
-
-    def part(self, d: int) -> np.ndarray:
-        return self.edges[self.offset[d] : self.offset[d] + self.sizes[d]]
-
-    def words(self, d: int) -> np.ndarray:
-        return self.word[self.offset[d] : self.offset[d] + self.sizes[d]]
-
-
-def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int, theta: float) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
-    """(text, sample from 1, ids, log p, inclusion score), by sample. texts are normalised."""
-    units = [_UNIT.findall(t) for t in texts]
-    n_words = np.array([len(u) for u in units], np.int64)
-    codes, names = pd.factorize(np.array([x for u in units for x in u], object)) if n_words.sum() else (np.zeros(0, np.int64), [])
-    lat = Lattice(v, list(names), theta)
+        left = np.flatnonzero(branch >= 0)
+        at = self.offset[left] + branch[left]
+        out = lat.p[edges[at]] + np.array([sum(lat.p[list(gone[d])]) for d in left.tolist()])
+        # Where there is something to leave: a node of one edge has nothing else. Parts before the branch belong to other paths.
+        rest = lat.log_rest[edges]
+        rest[at] = np.log1p(-np.minimum(out, 1 - 1e-16))
+        rest[at[(out >= 1 - 1e-15) | (lat.degree[lat.owner[edges[at]]] == 1)]] = -np.inf
+        rest[place < np.maximum(branch, 0)[row]] = -np.inf
+        open_ = np.flatnonzero(rest > -np.inf)
+        r = row[open_]
+        e = _fraction(_mixed(_mixed(seed[r], 2, 1_000_003 + place[open_]), 3, -1))
+        # log of the mass of a part, less log of an exponential: its Gumbel before it is cut off at g, which keeps the order.
+        np.log(e, out=e)
+        np.negative(e, out=e)
+        np.log(e, out=e)
+        self.race = np.full(len(edges), -np.inf)
+        self.race[open_] = (upto[open_] - base[r]) * _GRAIN + rest[open_] - e
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        """The value and the place of each text's greatest part; -inf and -1 where nothing is left."""
+        best, at = _segment_max(self.race, self.sizes)
+        return np.where(best > -np.inf, -np.logaddexp(-self.g, -best), -np.inf), at
+
+
+def _leave(lat: Lattice, path: _Path, d: np.ndarray, t: np.ndarray, seeds: np.ndarray, turn: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """For texts d that leave a path at its edge t: another edge of that node, by its share of what is not gone; and what is gone then."""
+    edge = path.edges[path.offset[d] + t]
+    own = lat.owner[edge]
+    first, degree = lat.first[own], lat.degree[own]
+    gone = [(e, *(path.gone[i] if b else ())) for e, i, b in zip(edge.tolist(), d.tolist(), (t == path.branch[d]).tolist(), strict=True)]
+    n_gone = np.array([len(x) for x in gone], np.int64)
+    flat = np.array([e for x in gone for e in x], np.int64)
+    which = np.repeat(np.arange(len(d)), n_gone)
+    # One column a place within the node, so that a text's sums do not depend on its neighbours.
+    share = np.zeros((len(d), int(degree.max(initial=0))))
+    for k in range(share.shape[1]):
+        some = degree > k
+        share[some, k] = lat.p[first[some] + k]
+    share[which, flat - first[which]] = 0.0
+    upto = np.cumsum(share, axis=1)
+    u = _uniform(seeds[d], turn, t, -2) * upto[:, -1]
+    chosen = (upto <= u[:, None]).sum(axis=1)
+    # What rounding leaves goes to the last edge that has a share.
+    last = share.shape[1] - 1 - np.argmax(share[:, ::-1] > 0, axis=1)
+    return first + np.minimum(chosen, last), gone
+
+
+def sample_segmentations(v: Vocabulary, texts: list[str], seeds: np.ndarray, k: int, theta: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each sample from 1: (number, texts that have it, their ids one after another, how many each has, log p, inclusion score). texts are normalised."""
+    cps, n_words, begins, unit_sizes = _units(texts)
+    codes, firsts = _distinct(cps, begins, unit_sizes)
+    lat = Lattice(v, cps[_ragged(begins[firsts], unit_sizes[firsts])].astype(np.int64), unit_sizes[firsts], theta)
     n = len(texts)
     text_of = np.repeat(np.arange(n), n_words)
     first_word = np.cumsum(n_words) - n_words
     word = np.arange(len(codes)) - first_word[text_of]
-    edges, count = lat.sample(lat.start[codes], seeds[text_of], 0, word)
+    state = _mixed(seeds, 1, 0)
+    edges, count = lat.sample(lat.start[codes], state[text_of], word)
     sizes = np.bincount(text_of, count, minlength=n).astype(np.int64)
     g = -np.log(-np.log(_uniform(seeds, 0, -1)))
-    paths = [_Path(lat, edges, sizes, np.repeat(word, count), g, np.full(n, -1), [()] * n, seeds, 0)]
+    paths = [_Path(lat, edges, sizes, np.repeat(word, count), g, np.full(n, -1), [()] * n, state)]
     for turn in range(1, k + 1):
-        tops = [_segment_max(p.value, p.sizes) for p in paths]
+        tops = [p.top() for p in paths]
         which = np.argmax(np.stack([t[0] for t in tops]), axis=0)
         value = np.stack([t[0] for t in tops])[which, np.arange(n)]
-        if turn == k:
+        if turn == k or not (value > -np.inf).any():
             break
-        prefix: list[np.ndarray] = []
-        pre_words: list[np.ndarray] = []
-        gone: list[tuple] = [()] * n
-        branch = np.full(n, -1)
-        node, row, nth = [], [], []
-        for d in range(n):
-            if value[d] == -np.inf:
-                prefix.append(np.zeros(0, np.int64))
-                pre_words.append(np.zeros(0, np.int64))
+        branch, gone = np.full(n, -1), [()] * n
+        chosen, at_word = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for s, p in enumerate(paths):
+            d = np.flatnonzero((which == s) & (value > -np.inf))
+            if not len(d):
                 continue
-            p = paths[which[d]]
-            t = int(tops[which[d]][1][d])
-            path = p.part(d)
-            p.value[p.offset[d] + t] = -np.inf
-            out = {int(path[t]), *(p.gone[d] if t == p.branch[d] else ())}
-            own = lat.owner[path[t]]
-            choices = [e for e in range(lat.first[own], lat.first[own + 1]) if e not in out]
-            share = np.cumsum(lat.p[choices])
-            u = _uniform(seeds[d : d + 1], turn, t, -2)[0] * share[-1]
-            e = choices[min(int(np.searchsorted(share, u, side="right")), len(choices) - 1)]
-            gone[d], branch[d] = tuple(out), t
-            prefix.append(np.r_[path[:t], e])
-            w = p.words(d)[: t + 1]
-            pre_words.append(w)
-            rest = codes[first_word[d] + w[-1] + 1 : first_word[d] + n_words[d]]
-            node.append(np.r_[lat.end[e], lat.start[rest]])
-            row.append(np.full(len(rest) + 1, d))
-            nth.append(w[-1] + np.arange(len(rest) + 1))
-        if not node:
-            break
-        row_, nth_ = np.concatenate(row), np.concatenate(nth)
-        more, count = lat.sample(np.concatenate(node), seeds[row_], turn, nth_)
+            t = tops[s][1][d]
+            p.race[p.offset[d] + t] = -np.inf
+            chosen[d], found = _leave(lat, p, d, t, seeds, turn)
+            for i, x in zip(d.tolist(), found, strict=True):
+                gone[i] = x
+            branch[d], at_word[d] = t, p.word[p.offset[d] + t]
+        on = np.flatnonzero(branch >= 0)
+        # What follows the branch: the rest of its word, and the words after it.
+        n_rest = n_words[on] - at_word[on]
+        heads = np.cumsum(n_rest) - n_rest
+        places = _ragged(first_word[on] + at_word[on], n_rest)
+        node = lat.start[codes[places]]
+        node[heads] = lat.end[chosen[on]]
+        row_, nth_ = np.repeat(on, n_rest), word[places]
+        state = _mixed(seeds, 1, turn)
+        more, count = lat.sample(node, state[row_], nth_)
         added = np.bincount(row_, count, minlength=n).astype(np.int64)
-        cut = np.cumsum(added) - added
-        more_words = np.repeat(nth_, count)
-        edges = np.concatenate([x for d in range(n) for x in (prefix[d], more[cut[d] : cut[d] + added[d]])])
-        words = np.concatenate([x for d in range(n) for x in (pre_words[d], more_words[cut[d] : cut[d] + added[d]])])
-        sizes = np.array([len(x) for x in prefix]) + added
-        paths.append(_Path(lat, edges, sizes, words, value, branch, gone, seeds, turn))
+        kept = np.maximum(branch, 0)
+        sizes = np.where(branch >= 0, branch + 1 + added, 0)
+        offset = np.cumsum(sizes) - sizes
+        edges, words = np.empty(int(sizes.sum()), np.int64), np.empty(int(sizes.sum()), np.int64)
+        for s, p in enumerate(paths):
+            d = on[which[on] == s]
+            to, source = _ragged(offset[d], kept[d]), _ragged(p.offset[d], kept[d])
+            edges[to], words[to] = p.edges[source], p.word[source]
+        edges[offset[on] + branch[on]], words[offset[on] + branch[on]] = chosen[on], at_word[on]
+        to = _ragged(offset[on] + branch[on] + 1, added[on])
+        edges[to], words[to] = more, np.repeat(nth_, count)
+        paths.append(_Path(lat, edges, sizes, words, value, branch, gone, state))
     for s, p in enumerate(paths, 1):
         ids = lat.piece[p.edges]
-        per = lat.count[p.edges]
-        bare = ids < 0
-        if bare.any():
-            within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            ids, bare = np.repeat(ids, per), np.repeat(bare, per)
-            ids[bare] = lat.fallback[-1 - ids[bare] + within[bare]]
-        ends = np.cumsum(np.bincount(np.repeat(np.arange(n), p.sizes), per, minlength=n).astype(np.int64))
-        begins = np.r_[0, ends[:-1]]
+        bare = np.flatnonzero(ids < 0)
+        n_ids = p.sizes
+        if len(bare):
+            per = lat.count[p.edges]
+            within = _ragged(np.zeros(len(bare), np.int64), per[bare])
+            n_ids = np.bincount(np.repeat(np.arange(n), p.sizes), per, minlength=n).astype(np.int64)
+            starts = (np.cumsum(per) - per)[bare]
+            from_ = np.repeat(-1 - ids[bare], per[bare])
+            ids = np.repeat(ids, per)
+            ids[_ragged(starts, per[bare])] = lat.fallback[from_ + within]
+        has = np.arange(n) if s == 1 else np.flatnonzero(p.branch >= 0)
         with np.errstate(over="ignore"):
             inclusion = -np.expm1(-np.exp(p.log_p - value))
-        for d in range(n):
-            if s == 1 or p.branch[d] >= 0:
-                yield d, s, ids[begins[d] : ends[d]].astype(np.int32), float(p.log_p[d]), float(inclusion[d])
+        yield s, has, ids.astype(np.int32), n_ids[has], p.log_p[has], inclusion[has]
 
 
 def _seed(key) -> int:
@@ -374,21 +496,28 @@ def _encode(path: str, k: int, theta: float, with_ids: bool):
 
         def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
             seeds = np.array([_seed(x) for x in keys], np.uint64)
-            out: list[tuple] = []
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            cols: list[list] = [[] for _ in range(7)]
             flat: list[np.ndarray] = []
-            want = [t.replace(SPACE, " ")[1:] for t in texts]
-            for d, s, ids, log_p, inclusion in sample_segmentations(v, texts, seeds, k, theta):
-                same = v.decode(ids.tolist()) == want[d]
-                out.append((keys[d], s, len(ids), log_p, inclusion, hashlib.sha256(ids.tobytes()).hexdigest(), same))
+            for s, has, ids, n_ids, log_p, inclusion in sample_segmentations(v, texts, seeds, k, theta):
+                own = has.tolist()
+                ends = np.cumsum(n_ids).tolist()
+                blob = memoryview(ids.tobytes())
+                digests = [hashlib.sha256(blob[4 * (e - m) : 4 * e]).hexdigest() for e, m in zip(ends, n_ids.tolist(), strict=True)]
+                same = v.spells(ids, n_ids, [raw[d] for d in own])
+                for d in np.flatnonzero(~same).tolist():  # marks and spaces are one to the decoder
+                    same[d] = v.decode(ids[ends[d] - n_ids[d] : ends[d]].tolist()) == texts[own[d]].replace(SPACE, " ")[1:]
+                for c, x in zip(cols, ([keys[d] for d in own], [s] * len(own), n_ids.tolist(), log_p.tolist(), inclusion.tolist(), digests, same.tolist()), strict=True):
+                    c.extend(x)
                 if with_ids:
                     flat.append(ids)
-            cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()))]
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
             names = ["key", "sample", "n_pieces", "log_prob", "inclusion", "ids_sha256", "round_trip"]
             if with_ids:
-                offsets = np.r_[0, np.cumsum([len(x) for x in flat])].astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
+                offsets = np.r_[0, np.cumsum(np.array(cols[2], np.int64))].astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
                 names.append("ids")
-            return pa.RecordBatch.from_arrays(cols, names)
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             keys, texts, size = [], [], 0

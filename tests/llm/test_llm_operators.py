@@ -203,6 +203,13 @@ def _all_segmentations(v, t, theta):
     return out
 
 
+def _samples(v, texts, seeds, k, theta):
+    """(text, sample, ids, log p, inclusion), one by one."""
+    for s, has, ids, n_ids, log_p, inclusion in pieces.sample_segmentations(v, texts, seeds, k, theta):
+        for d, part, lp, w in zip(has.tolist(), np.split(ids, np.cumsum(n_ids)[:-1]) if len(n_ids) else [], log_p, inclusion, strict=True):
+            yield d, s, part, float(lp), float(w)
+
+
 def test_samples_follow_the_lattice():
     v, theta, n = pieces.vocabulary(pieces.MODEL), 0.6, 5000
     t = v.normalize("hat on")
@@ -211,7 +218,7 @@ def test_samples_follow_the_lattice():
     p = {ids: math.exp(w - z) for ids, w in every}
     seeds = np.array([pieces._seed(i) for i in range(n)], np.uint64)
     first, second, weight = collections.Counter(), collections.Counter(), collections.Counter()
-    for d, s, ids, log_p, inclusion in pieces.sample_segmentations(v, [t] * n, seeds, 2, theta):
+    for d, s, ids, log_p, inclusion in _samples(v, [t] * n, seeds, 2, theta):
         assert math.exp(log_p) == pytest.approx(p[tuple(ids)], abs=1e-9)
         (first if s == 1 else second)[tuple(ids)] += 1
         weight[d] += math.exp(log_p) / inclusion
@@ -225,11 +232,31 @@ def test_every_segmentation_once():
     v = pieces.vocabulary(pieces.MODEL)
     for text in ("at 中", "a\nb", "  x ", "\U0001f9ff"):
         t = v.normalize(text)
-        got = [tuple(ids.tolist()) for _, _, ids, _, _ in pieces.sample_segmentations(v, [t], np.array([7], np.uint64), 500, 0.6)]
+        got = [tuple(ids.tolist()) for _, _, ids, _, _ in _samples(v, [t], np.array([7], np.uint64), 500, 0.6)]
         assert len(got) == len(set(got)) and set(got) == {ids for ids, _ in _all_segmentations(v, t, 0.6)}
         assert {v.decode(ids) for ids in got} == {text}
 
 
+def test_texts_of_one_call_do_not_touch_each_other():
+    """Three samples each, texts with fewer, empty and bare ones: alone or together gives the same bits."""
+    v = pieces.vocabulary(pieces.MODEL)
+    texts = [v.normalize(t) for t in ("", "a", "hat on", "\U0001f9ff\U0001f9ff a", "a\nb\n\n c", "x" * 300, "hat hat hat")]
+    seeds = np.array([pieces._seed(i) for i in range(len(texts))], np.uint64)
+    together = {(d, s): (tuple(ids.tolist()), lp, w) for d, s, ids, lp, w in _samples(v, texts, seeds, 4, 0.6)}
+    alone = {(i, s): (tuple(ids.tolist()), lp, w) for i, t in enumerate(texts) for _, s, ids, lp, w in _samples(v, [t], seeds[i : i + 1], 4, 0.6)}
+    assert together == alone and len({x[0] for (d, _), x in together.items() if d == 2}) == 4
+    for i, t in enumerate(texts):
+        assert all(v.spells(np.array(x[0], np.int32), np.array([len(x[0])]), [t.encode()]).all() for (d, _), x in together.items() if d == i)
+
+
+def test_units_are_those_of_the_pattern():
+    texts = ["", "▁a▁▁b\n▁\n\nc", "▁▁", "a", "\n"]
+    cps, per_text, begins, sizes = pieces._units(texts)
+    all_ = "".join(texts)
+    assert [all_[b : b + n] for b, n in zip(begins, sizes, strict=True)] == [u for t in texts for u in pieces._UNIT.findall(t)]
+    assert per_text.tolist() == [len(pieces._UNIT.findall(t)) for t in texts] and len(cps) == len(all_)
+
+
 def test_batches_do_not_matter(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     a, b = (sorted(tuple(r) for r in pieces.sampled_encodings(docs.repartition(n), with_ids=False).collect()) for n in (1, 5))
