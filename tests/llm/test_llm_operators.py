@@ -1,6 +1,7 @@
 """Operators against brute force, known answers and held-out data, on small fixtures."""
 
 import collections
+import hashlib
 import itertools
 import math
 import random
@@ -312,6 +313,22 @@ def test_next_in_order_over_sparse_ids(spark):
     assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+def test_next_over_any_ids(spark, monkeypatch):
+    """Ids over the whole of bigint, nulls, and one id on most rows with few texts; stretches of a few rows."""
+    monkeypatch.setattr(fingerprint, "STRETCH_ROWS", 7)
+    rng = random.Random(6)
+    rows = [(rng.randrange(-(2**63), 2**63), f"t{i}") for i in range(200)] + [(i, "edge") for i in (-(2**63), 2**63 - 1, 0, None, None)]
+    rows += [(42, f"s{i % 9}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), digest(r[1])))
+    want = collections.Counter((i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order))
+    got = collections.Counter((r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(df, "doc_id", ["text"]).collect())
+    assert got == want
+    one = fingerprint.with_next(spark.createDataFrame([(None, "x")], "doc_id bigint, text string"), "doc_id", ["text"]).collect()
+    assert [(r.text, r.next_text) for r in one] == [("x", "x")]
+
+
 # Jaccard join
 
 
