@@ -87,5 +87,33 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch that nothing reads any more, wherever the shared folder is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+class Scratch:
+    """Tables written on the way to a result, which go once it is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, but: DataFrame | None = None) -> None:
+        """Deletes what was written, except what ``but`` reads."""
+        held = set() if but is None else {f[: f.rindex("/")] for f in but.inputFiles()}
+        keep = [p for p in self.paths if any(h.endswith(p.split(":", 1)[-1].rstrip("/")) for h in held)]
+        removed(self.spark, *(p for p in self.paths if p not in keep))
+        self.paths = keep
+
+
 def count_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,15 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run holds, for the line keys of some batches, (key, documents that hold it,
-largest document id), sorted by key. Each new batch merge-anti-joins what the
-runs have settled (keys already found in enough documents), adds the rest as a
-run of level 0, and ``FANOUT`` runs of a level are compacted into one of the
-next. Batches come in descending ids, so a key's first run already has its
-largest id, and settled keys cost later batches nothing.
-
-A key is the MD5 of the normalised line (128 bits). Only keys, never lines, are
-shuffled; a key's rows are joined under AQE's skew split, so a line that a third
-of all documents hold does not meet in one task.
+largest document id). Runs are written into buckets of the key's hash, sorted by
+key, so that runs are merged, and anti-joined by a batch, bucket by bucket and
+never shuffled again. Each new batch merge-anti-joins what the runs have settled
+(keys already found in enough documents), adds the rest as a run of level 0, and
+``FANOUT`` runs of a level are compacted into one of the next. Batches come in
+descending ids, so a key's first run already has its largest id, and settled
+keys cost later batches nothing.
+
+A key is the MD5 of the normalised line (128 bits). Finding the keys shuffles
+keys and ids alone; then texts are shuffled once, to meet the list of keys that
+each loses. A key's rows are joined under AQE's skew split, so a line that a
+third of all documents hold does not meet in one task.
 
 Defined results: a null or empty text is one empty line; rows with one id are
 one document; rows with a null id are one document too, which never keeps a
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ascii_lower, let, scratch, table, written
+from sluice.llm.common import Scratch, ascii_lower, count_partitions, let, removed, scratch, table, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -42,60 +45,79 @@ def _lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The runs, as Parquet in the shared folder."""
+    """The runs: partitions of one bucketed table in the shared folder."""
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[str]] = []
-        self.schema = None
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        self.path = scratch(spark, "line-runs")
+        self.name = "line_runs_" + self.path.rsplit("-", 1)[-1]
+        self.buckets = count_partitions(spark)
+        self.levels: list[list[int]] = []
+        self.n_runs = 0
+
+    def _merged(self, runs: list[int]) -> DataFrame:
+        rows = self.spark.table(self.name).where(F.col("run").isin(runs))
         return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
 
     def _write(self, df: DataFrame, level: int) -> None:
-        path = scratch(self.spark, f"run{level}")
-        df.sortWithinPartitions("key").write.option("compression", "zstd").parquet(path)
+        rows = df.select("key", "n_docs", "max_id", F.lit(self.n_runs).alias("run"))
+        writer = rows.write.mode("append").format("parquet").option("compression", "zstd").option("path", self.path)
+        writer.partitionBy("run").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(self.n_runs)
+        self.n_runs += 1
 
     def state(self) -> DataFrame:
         """Every key of the runs, merged."""
-        return self._merged([p for ps in self.levels for p in ps])
+        return self._merged([r for rs in self.levels for r in rs])
+
+    def unsettled(self, own: DataFrame) -> DataFrame:
+        """The rows of a batch whose keys the runs have not yet found in enough documents."""
+        settled = self.state().where(F.col("n_docs") >= self.min_docs).select("key")
+        return own.join(settled.hint("merge"), "key", "left_anti")
 
     def add(self, pairs: DataFrame) -> None:
         """pairs: distinct or not (key, id) of a batch; ids of a batch are in no other."""
         own = pairs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("max_id"))
-        self.schema = self.schema or own.schema
-        if any(self.levels):
-            settled = self.state().where(F.col("n_docs") >= self.min_docs).select("key")
-            own = own.join(settled.hint("merge"), "key", "left_anti")
-        self._write(own, 0)
-        for level, paths in enumerate(self.levels):
-            if len(paths) >= self.fanout:
-                self._write(self._merged(paths), level + 1)
+        self._write(self.unsettled(own) if any(self.levels) else own, 0)
+        for level, runs in enumerate(self.levels):
+            if len(runs) >= self.fanout:
+                self._write(self._merged(runs), level + 1)
                 self.levels[level] = []
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(self.spark, self.path)
+
+
+def batch_ranges(low: int, high: int, batches: int) -> list[tuple[int, int]]:
+    """The ids from low to high in parts, as first and last of each, highest first; ids may be any 64-bit numbers."""
+    edges = [low + (high - low + 1) * b // batches for b in range(batches + 1)]
+    return [(a, b - 1) for a, b in reversed(list(zip(edges[:-1], edges[1:], strict=True))) if a < b]
+
 
 def dropped_keys(docs: DataFrame, id_col: str, text: str, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """(id, drop): for each document that loses lines, their keys."""
     spark = docs.sparkSession
+    steps = Scratch(spark)
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: _long(x, min_chars)), line_key))
-    pairs = written(docs.select(F.col(id_col).alias("id"), F.explode(keys).alias("key")).select("id", F.unhex("key").alias("key")), "line-keys")
+    pairs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.explode(keys).alias("key")).select("id", F.unhex("key").alias("key"))
+    pairs = steps.written(pairs, "line-keys")
     low, high = pairs.agg(F.min("id"), F.max("id")).first()
     runs = LineRuns(spark, min_docs)
+    for first, last in [] if low is None else batch_ranges(low, high, batches):
+        inside = F.col("id").between(first, last)
+        runs.add(pairs.where(inside | F.col("id").isNull() if first == low else inside))
     if low is None:
         runs.add(pairs)
-    else:
-        edges = [low + (high - low + 1) * b // batches for b in range(batches + 1)]
-        for b in reversed(range(batches)):
-            inside = (F.col("id") >= edges[b]) & (F.col("id") < edges[b + 1])
-            runs.add(pairs.where(inside | F.col("id").isNull() if b == 0 else inside))
     # Written out, so that both sides of the join are plain exchanges and AQE can split a line that very many documents hold.
-    often = written(runs.state().where(F.col("n_docs") >= min_docs).select("key", "max_id"), "line-often")
+    often = steps.written(runs.state().where(F.col("n_docs") >= min_docs).select("key", "max_id"), "line-often")
+    runs.drop()
     lost = pairs.join(often, "key").where(~F.col("id").eqNullSafe(F.col("max_id")))
-    return lost.groupBy("id").agg(F.collect_set(F.lower(F.hex("key"))).alias("drop"))
+    drops = written(lost.groupBy("id").agg(F.collect_set(F.lower(F.hex("key"))).alias("drop")), "line-drops")
+    steps.clear()
+    return drops
 
 
 def dedup_lines(

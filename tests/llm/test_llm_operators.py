@@ -292,6 +292,32 @@ def test_the_largest_id_keeps_the_line(spark):
     assert rows[0].kept_text == "a0\nshort" and rows[6].kept_text == "" and rows[6].n_lines == 1
 
 
+def test_runs_are_merged_without_an_exchange(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=3)
+    for b in range(3):
+        runs.add(spark.createDataFrame([(f"k{i}", 10 * b + i) for i in range(9)], "key string, id bigint"))
+    conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        own = spark.createDataFrame([("k1", 5, 7)], "key string, n_docs bigint, max_id bigint").repartition(runs.buckets, "key")
+        plan = runs.unsettled(own)._jdf.queryExecution().executedPlan().toString()
+        merged = runs.state()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", conf)
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Exchange" not in merged
+    assert {r.key: (r.n_docs, r.max_id) for r in runs.state().collect()} == {f"k{i}": (3, 20 + i) for i in range(9)}
+    runs.drop()
+
+
+def test_lines_over_any_ids(spark):
+    line = "This line is long enough to be a candidate, surely."
+    ids = [-(2**63), -(2**62), 0, 2**62, 2**63 - 1, None, None]
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame([(i, line) for i in ids], "doc_id bigint, text string")).collect()}
+    assert rows == {i: int(i != 2**63 - 1) for i in ids}
+    assert line_dedup.batch_ranges(-(2**63), 2**63 - 1, 4)[0] == (2**62, 2**63 - 1)
+    assert line_dedup.batch_ranges(5, 6, 4) == [(6, 6), (5, 5)]
+
+
 # Fingerprints
 
 
