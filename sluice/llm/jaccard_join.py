@@ -22,7 +22,9 @@ of what remains: sets that are already connected are never compared again.
 
 No step gathers a list of documents, links or components on the driver. The
 broadcast of frequent shingles has at most ``MAX_FREQUENT`` entries; the filter
-of ids has ``FILTER_BITS`` bits at any size.
+of ids has at most ``MAX_FILTER_BITS`` bits. What is written on the way is
+deleted once the result is written. Names of sets and shingles have 64 bits:
+among n sets a false merge is expected once n reaches some 10 ** 9.5.
 
 Defined results: null and empty texts have the empty set and are linked with
 nothing; rows with one id are separate rows; a null id never names a component
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import count_partitions, table, written
+from sluice.llm.common import Scratch, count_partitions, table, written
 from sluice.llm.shingles import mixed, set_key, shingle_sets, stretches
 
 WORDS, PERCENT = 5, 75
@@ -54,7 +56,8 @@ MAX_FREQUENT = 2_000_000
 FREQUENT = 8
 #: Shingles that a task holds while it looks for repeats.
 STRETCH = 4_000_000
-FILTER_BITS = 1 << 24
+#: Bits of the filter of ids: eight an id, and this many at most (32 MB). A full filter lets texts pass that nobody asks for, and loses none.
+MAX_FILTER_BITS = 1 << 28
 #: Stands for a null id inside the join.
 NO_ID = -(1 << 63)
 _POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -73,20 +76,20 @@ def _set_rows(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n_held = 0
-        names = ["doc_id", "n", "key", "token", "count"]
+        names = ["doc_id", "text_hash", "n", "key", "token", "count"]
 
         def repeats() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], names)
 
         seen: set[int] = set()
         for rows, texts in (x for batch in batches for x in stretches(batch)):
             sets = shingle_sets(texts, size)
             keys = [set_key(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), none, none], names)
             for k, s in zip(keys, sets, strict=True):
                 if k is not None and k not in seen:
                     seen.add(k)
@@ -183,27 +186,29 @@ def _verify(size: int):
     return run
 
 
-def _filter_of(ids: DataFrame):
-    """A Bloom filter of ids, of fixed size; made by a bitwise or over its words."""
-    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(FILTER_BITS)) for s in (1, 2)))).alias("b"))
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids; made by a bitwise or over its words."""
+    size = min(MAX_FILTER_BITS, 1 << max(16, (8 * ids.count()).bit_length()))
+    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(size)) for s in (1, 2)))).alias("b"))
     words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    found = words.toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    found = words.toArrow()  # at most MAX_FILTER_BITS / 64 rows
+    out = np.zeros(size // 64, np.int64)
     out[found.column("w").to_numpy()] = found.column("v").to_numpy()
     return out
 
 
-def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, steps: Scratch) -> DataFrame:
     """pairs: distinct (x, y) names of sets. Adds the overlap and both sizes."""
     spark = docs.sparkSession
     deal = F.pmod(F.xxhash64("x"), F.greatest(F.ceil(F.col("partners") / HUB_ROWS), F.lit(1))).cast("int")
     loads = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("partners"))
-    dealt = written(pairs.join(loads, "y").select("x", "y", deal.alias("deal")), "jaccard-pairs")
+    dealt = steps.written(pairs.join(loads, "y").select("x", "y", deal.alias("deal")), "jaccard-pairs")
     hubs = dealt.select(F.col("y").alias("key"), F.col("y").alias("hub"), "deal", F.lit(True).alias("is_hub")).distinct()
     asked = dealt.select(F.col("x").alias("key"), F.col("y").alias("hub"), "deal", F.lit(False).alias("is_hub")).unionByName(hubs)
-    asked = written(asked.join(reps, "key").select("key", "hub", "deal", "is_hub", "doc_id"), "jaccard-asked")
-    bits = spark.sparkContext.broadcast(_filter_of(asked.select("doc_id").distinct()))
-    hashed = docs.select("doc_id", "text", *(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(FILTER_BITS)).alias(f"h{s}") for s in (1, 2)))
+    asked = steps.written(asked.join(reps, "key").select("key", "hub", "deal", "is_hub", "doc_id"), "jaccard-asked")
+    words = _filter_of(asked.select("doc_id").distinct())
+    bits = spark.sparkContext.broadcast(words)
+    hashed = docs.select("doc_id", "text", *(F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(64 * len(words))).alias(f"h{s}") for s in (1, 2)))
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value.view(np.uint64)
@@ -217,18 +222,19 @@ def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> D
     few = hashed.mapInArrow(may, "doc_id bigint, text string")
     sent = asked.join(few, "doc_id").select("hub", "deal", "is_hub", "key", "text")
     by_hub = sent.repartition(count_partitions(spark), "hub", "deal").sortWithinPartitions("hub", "deal", F.col("is_hub").desc(), "key")
-    return written(by_hub.mapInArrow(_verify(size), "x bigint, y bigint, overlap bigint, nx bigint, ny bigint").distinct(), "jaccard-compared")
+    return steps.written(by_hub.mapInArrow(_verify(size), "x bigint, y bigint, overlap bigint, nx bigint, ny bigint").distinct(), "jaccard-compared")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Scratch | None = None) -> DataFrame:
     """links: (x, y). (key, label): label is the least key that links reach. Labels travel along links and jump along labels."""
-    both = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("x").alias("key")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
+    steps = steps or Scratch(links.sparkSession)
+    both = steps.written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    labels = steps.written(both.groupBy(F.col("x").alias("key")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("key").alias("y"), F.col("label").alias("l")), "y").groupBy(F.col("x").alias("key")).agg(F.min("l").alias("l"))
         step = labels.join(near, "key").select("key", F.col("label").alias("was"), F.least("label", "l").alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        after = written(step.join(jump, "label", "left").select("key", "was", F.least("label", "far").alias("label")), "labels")
+        after = steps.written(step.join(jump, "label", "left").select("key", "was", F.least("label", "far").alias("label")), "labels")
         if after.where("was != label").isEmpty():
             return after.select("key", "label")
         labels = after.select("key", "label")
@@ -327,13 +333,17 @@ def _emitted(lists: DataFrame, long_lists: bool, leaders: int | None, percent: i
     return by_list.mapInArrow(_pairs(long_lists, leaders, percent, spread), "x bigint, y bigint")
 
 
-def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, n_shingles, component_id), a row for each row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
-    schema = "doc_id bigint, n bigint, key bigint, token bigint, count bigint"
-    read = written(docs.mapInArrow(_set_rows(percent, size), schema), "jaccard-sets")
-    rows = read.where("token IS NULL").select("doc_id", "n", "key")
+def jaccard_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, n_shingles, component_id, text_hash, component), a row for each row.
+
+    text_hash is xxhash64 of the text and tells rows with one id apart; component
+    names the component whatever ids its rows have, and is null for an empty set.
+    """
+    spark, steps = docs.sparkSession, Scratch(docs.sparkSession)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    schema = "doc_id bigint, text_hash bigint, n bigint, key bigint, token bigint, count bigint"
+    read = steps.written(docs.mapInArrow(_set_rows(percent, size), schema), "jaccard-sets")
+    rows = read.where("token IS NULL").select("doc_id", "text_hash", "n", "key")
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     repeats = read.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c"))
     total = repeats.agg(F.sum("c")).first()[0] or 0
@@ -343,12 +353,12 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     frequent = spark.sparkContext.broadcast(np.sort(frequent))
     parts = count_partitions(spark)
     blobs = docs.mapInArrow(_postings(frequent, 8 * parts, percent, size), "bucket bigint, records binary").repartition(parts, "bucket")
-    lists = written(blobs.mapInArrow(_lists, "token bigint, key bigint, n bigint, pos bigint, size bigint"), "jaccard-lists")
+    lists = steps.written(blobs.mapInArrow(_lists, "token bigint, key bigint, n bigint, pos bigint, size bigint"), "jaccard-lists")
     reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
     alone = {"comp": F.col("key"), "near": F.lit(-1).cast("bigint")}
     short = lists.where(F.col("size") <= SHORT).withColumns(alone)
-    long_ = written(lists.where(F.col("size") > SHORT).select("token", "key", "n", "pos"), "jaccard-long")
+    long_ = steps.written(lists.where(F.col("size") > SHORT).select("token", "key", "n", "pos"), "jaccard-long")
     shared = _emitted(short, False, None, percent).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
     # What the prefixes share, long lists counted in full, and what may follow the prefixes bound the overlap.
     more = long_.groupBy("key").agg(F.count(F.lit(1)).alias("b"))
@@ -358,18 +368,18 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     after = lambda c: F.ceil(percent * F.col(f"n{c}") / 100) - 1
     needed = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))
     close = sized.where(F.col("c") + F.least("bx", "by") + F.greatest(after("x"), after("y")) >= needed).select("x", "y")
-    ties = written(_emitted(long_.withColumns(alone), True, LEADERS, percent).distinct(), "jaccard-ties")
+    ties = steps.written(_emitted(long_.withColumns(alone), True, LEADERS, percent).distinct(), "jaccard-ties")
     linked = F.expr(f"100 * overlap >= {percent} * (nx + ny - overlap)")
-    known_ = compared(written(close.union(ties).distinct(), "jaccard-close"), docs, reps, size)
-    labels = components(known_.where(linked))
+    known_ = compared(steps.written(close.union(ties).distinct(), "jaccard-close"), docs, reps, size, steps)
+    labels = components(known_.where(linked), steps)
 
     turn = 0
     # A list's first leader is its least key; what each set shares with it decides later pairs without their texts.
     leads = long_.groupBy("token").agg(F.min("key").alias("lead"))
     while not long_.isEmpty():
-        comp = written(long_.join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("label", "key").alias("comp")), "jaccard-long")
+        comp = steps.written(long_.join(labels, "key", "left").select("token", "key", "n", "pos", F.coalesce("label", "key").alias("comp")), "jaccard-long")
         per = comp.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
-        per = written(per.agg(F.sum("c").alias("l"), F.sum(F.col("c") * F.col("c")).alias("s")).where("s < l * l"), "jaccard-open")
+        per = steps.written(per.agg(F.sum("c").alias("l"), F.sum(F.col("c") * F.col("c")).alias("s")).where("s < l * l"), "jaccard-open")
         # Lists within one component have nothing to add: answers follow from their leader's.
         size_, pairs = per.agg(F.sum("l"), F.sum(F.expr("(l * l - s) / 2"))).first()
         if size_ is None:
@@ -381,17 +391,26 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         open_ = open_.join(shares, ["key", "lead"], "left").withColumn("near", near)
         turn += 1
         more = _emitted(open_, True, None if last else LEADERS, percent, not last).distinct().join(known_, ["x", "y"], "left_anti")
-        more = written(more, "jaccard-more")
+        more = steps.written(more, "jaccard-more")
         if not more.isEmpty():
-            known_ = written(known_.unionByName(compared(more, docs, reps, size)), "jaccard-known")
-            labels = components(known_.where(linked))
+            known_ = steps.written(known_.unionByName(compared(more, docs, reps, size, steps)), "jaccard-known")
+            labels = components(known_.where(linked), steps)
         if last:
             break
 
-    named = rows.join(labels, "key", "left").select("doc_id", "n", "key", F.coalesce("label", "key").alias("label"))
-    least_id = written(named.where("label IS NOT NULL").groupBy("label").agg(F.min(real("doc_id")).alias("component_id")), "jaccard-names")
-    out = named.join(least_id, "label", "left")
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), real("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = rows.join(labels, "key", "left").select("doc_id", "text_hash", "n", "key", F.coalesce("label", "key").alias("label"))
+    least_id = steps.written(named.where("label IS NOT NULL").groupBy("label").agg(F.min(real("doc_id")).alias("component_id")), "jaccard-names")
+    own = F.when(F.col("key").isNull(), real("doc_id")).otherwise(F.col("component_id"))
+    out = named.join(least_id, "label", "left").select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash", F.col("label").alias("component"))
+    out = written(out, "jaccard")
+    frequent.unpersist()
+    steps.clear()
+    return out
+
+
+def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, n_shingles, component_id), a row for each row."""
+    return jaccard_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

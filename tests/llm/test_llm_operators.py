@@ -477,6 +477,15 @@ def test_classes_tell_template_text_from_slots(spark):
 # Pipeline
 
 
+def test_one_id_with_two_texts(spark):
+    """Rows are told apart by id and text: the near copy goes whatever its id, another text under that id stays; equal rows are one."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, "c d"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, SF).collect()
+    assert collections.Counter(tuple(r) for r in kept) == collections.Counter([(1, a), (2, b), (None, "c d"), (3, ""), (4, None)])
+
+
 def test_pipeline_by_brute_force(spark):
     """Each stage on its own input: what must go goes, what must stay stays."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
