@@ -31,11 +31,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; of repeated rows, one."""
-    groups = written(jaccard_join.jaccard_components(docs), "pipeline-groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__id"]), "left_semi")
-    repeated = groups.groupBy("doc_id").count().where("count > 1")
+    """Of each group of near-duplicates the row with the least id stays, of rows with one id that with the least hash of its text; of equal rows, one."""
+    groups = jaccard_join.jaccard_groups(docs)
+    # A text without words is linked with nothing and stays.
+    rest = groups.where("component IS NOT NULL").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row"))
+    first = rest.groupBy("component").agg(F.min("row").alias("first"))
+    gone = rest.join(first, "component").where("row <> first").select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
+    # The same plan at every size: what goes may be as large as the documents.
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__hash"]), "left_anti")
+    repeated = groups.groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
