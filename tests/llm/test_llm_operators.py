@@ -4,12 +4,14 @@ import collections
 import hashlib
 import itertools
 import math
+import time
 import random
 import re
 import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,6 +465,50 @@ def test_pages_without_article_keep_all_their_text(spark):
     assert {r.page_id: r.text for r in rows} == {i: t for i, (_, _, t) in enumerate(pages)}
 
 
+def _texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example.com/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.text for r in html_text.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_what_all_pages_of_a_host_share_is_template(spark):
+    """Without a name or tag that tells: text around the slot, and a teaser within the main element; and no name empties an article."""
+    around = [f"<body><div class='x'><p>Same head</p></div><div class='y'><p>Own text {i} of its page</p></div><div class='z'><p>Same foot</p></div></body>" for i in range(8)]
+    assert _texts(spark, around) == [f"Own text {i} of its page" for i in range(8)]
+    teaser = [f"<body><main><h1>Title {i}</h1><p>Body {i}</p><div class='tease'><span>Read on</span><p>Ten best things</p></div></main></body>" for i in range(8)]
+    assert _texts(spark, teaser) == [f"Title {i}\nBody {i}" for i in range(8)]
+    assert _texts(spark, ["<article class='sponsored-by-none'><p>All of it</p></article>"] * 8) == ["All of it"] * 8
+
+
+def test_templates_by_brute_force(spark):
+    """On a small host: text under a path that stands equally often in all pages and never changes goes, the rest of the slot stays."""
+    rng = random.Random(9)
+    rows, want = [], []
+    for i in range(6):
+        parts = [("k" + "abcdefg"[j], j in (0, 3, 5)) for j in range(7)]
+        own = {name: f"w{rng.randrange(10**6)} {i}" for name, same in parts if not same}
+        rows.append("<body>" + "".join(f"<div class='{name}'><p>{own.get(name, 'as ever ' + name)}</p></div>" for name, _ in parts) + "</body>")
+        want.append("\n".join(own[name] for name, same in parts if not same))
+
+    got = _texts(spark, rows)
+    # The lowest element that holds all slots is the body; template text within it goes.
+    assert got == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<li>" * 100_000 + "x", "<div><p>y" * 50_000, "<script " * 40_000, "<script >" * 40_000, "<a href='" * 40_000, "<svg " * 40_000 + ">", "<!-- " * 40_000, "</div>" * 100_000, "<div a=\"" * 30_000 + ">"])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page, set())
+    assert time.process_time() - began < 4
+
+
+def test_deep_hosts_take_linear_time():
+    n = 50_000
+    rows = pd.DataFrame({"path": range(n), "parent": [max(0, i - 1) for i in range(n)], **dict.fromkeys(("named", "articles", "nevers"), 0), "pages": 1, "n": 1, "sig": 7, "chars": 5, "direct": 1, "least": 1, "most": 1})
+    began = time.process_time()
+    assert html_text.deduced(rows) == ([1], [])
+    assert time.process_time() - began < 4
+
+
 def test_classes_tell_template_text_from_slots(spark):
     page = "<body><div id=top><p>Our town since 1990</p></div><div id=c><h1>title {i}</h1><p>always here</p><p>{w}</p></div><div id=end>Made by us</div></body>"
     pages = [(i, f"http://a.example.com/{i}", page.format(i=i, w="word " * (i + 3))) for i in range(5)] + [(9, "http://b.example.com/", page.format(i=9, w="x"))]
