@@ -1,4 +1,4 @@
-"""Compressed blocks: a header with sizes and a checksum, then the body, stored raw if compression does not pay.
+"""Compressed blocks: a header with the raw size and a checksum, then the body, stored as it is if compression does not pay.
 
 Spark compresses its own shuffles and files; this is for payloads that travel
 as binary columns. It runs in Arrow batches.
@@ -14,36 +14,47 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAGIC = b"SlcBlock"
-#: magic, method, stored size, raw size, checksum of the raw bytes.
-HEADER = struct.Struct("<8sBiiI")
-RAW, LZ4, ZSTD = 0x10, 0x20, 0x30
-_METHODS = {"lz4": LZ4, "zstd": ZSTD}
-_NAMES = {LZ4: "lz4", ZSTD: "zstd"}
-CHECKSUM_SEED = 0x9747B28C
+MARK = b"slc2"
+#: mark, codec's place in CODECS, raw size, checksum of what is stored; the body follows to the block's end.
+HEADER = struct.Struct(">4sBQQ")
+CODECS = ("none", "lz4", "zstd")
+_ARROW = {"lz4": "lz4_raw", "zstd": "zstd"}
 
 
 def pack(data: bytes, codec: str = "lz4") -> bytes:
-    if codec not in _METHODS:
+    if codec not in _ARROW:
         raise ValueError(f"unknown codec {codec!r}")
-    body, method = pa.compress(data, codec="lz4_raw" if codec == "lz4" else codec, asbytes=True) if data else data, _METHODS[codec]
+    body = pa.compress(data, codec=_ARROW[codec], asbytes=True) if data else data
     if len(body) >= len(data):
-        body, method = data, RAW
-    return HEADER.pack(MAGIC, method, len(body), len(data), xxhash.xxh32_intdigest(data, CHECKSUM_SEED)) + body
+        codec, body = "none", data
+    return HEADER.pack(MARK, CODECS.index(codec), len(data), xxhash.xxh3_64_intdigest(body)) + body
 
 
 def unpack(block: bytes) -> bytes:
     """The raw bytes; an error for a block that is cut, altered or of another format."""
-    magic, method, stored, size, checksum = HEADER.unpack_from(block)
+    if len(block) < HEADER.size or block[:4] != MARK or block[4] >= len(CODECS):
+        raise ValueError("not a block")
+    _, codec, size, checksum = HEADER.unpack_from(block)
     body = block[HEADER.size :]
-    if magic != MAGIC or len(body) != stored or method not in (RAW, *_NAMES):
-        raise ValueError("not a whole block")
-    data = body if method == RAW else pa.decompress(body, decompressed_size=size, codec="lz4_raw" if method == LZ4 else _NAMES[method], asbytes=True)
-    if len(data) != size or xxhash.xxh32_intdigest(data, CHECKSUM_SEED) != checksum:
+    if xxhash.xxh3_64_intdigest(body) != checksum:
         raise ValueError("block fails its checksum")
+    data = body if codec == 0 else pa.decompress(body, decompressed_size=size, codec=_ARROW[CODECS[codec]], asbytes=True)
+    if len(data) != size:
+        raise ValueError("block fails its size")
     return data
 
 
+def block_sizes(block: Column) -> tuple[Column, Column]:
+    """(raw, stored) bytes of a block, read from its header; what it saves is their difference."""
+    raw = F.conv(F.hex(F.substring(block, 6, 8)), 16, 10).cast("bigint")
+    return raw, (F.octet_length(block) - HEADER.size).cast("bigint")
+
+
+def block_codec(block: Column) -> Column:
+    """The name of the codec that a block was stored with: "none" where compression did not pay."""
+    return F.get(F.array(*map(F.lit, CODECS)), F.conv(F.hex(F.substring(block, 5, 1)), 16, 10).cast("int"))
+
+
 def compressed(column: Column, codec: str = "lz4") -> Column:
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
@@ -77,3 +88,27 @@ def unpack_with_dictionary(data: bytes, dictionary: bytes) -> bytes:
     import zstandard
 
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress(data)
+
+
+def packed_with_dictionary(column: Column, dictionary: bytes, level: int = 3) -> Column:
+    """``pack_with_dictionary`` of a column; the dictionary goes with the plan and has at most the size it was trained to."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        return s.map(lambda x: None if x is None else c.compress(bytes(x)))
+
+    return run(column.cast("binary"))
+
+
+def unpacked_with_dictionary(column: Column, dictionary: bytes) -> Column:
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        import zstandard
+
+        d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+        return s.map(lambda x: None if x is None else d.decompress(bytes(x)))
+
+    return run(column)

@@ -62,3 +62,14 @@ def non_negative_hash(*columns: Column) -> Column:
     """A hash from 0 up; the one value without a positive counterpart becomes 0."""
     h = F.hash(*columns)
     return F.when(h == -(1 << 31), 0).otherwise(F.abs(F.greatest(h, F.lit(-(1 << 31) + 1))))
+
+
+def leading_zeros(x: Column, bits: int = 32) -> Column:
+    """Zero bits in front of a non-negative number; of 0, all of them."""
+    return F.when(x == 0, bits).otherwise(bits - F.length(F.bin(x)))
+
+
+def nth_of(values: Column, wanted: Column, others: Column) -> Column:
+    """The element of ``others`` that stands where ``wanted`` stands in ``values``; null if it is not there."""
+    at = F.array_position(values, wanted)
+    return F.when(at > 0, F.get(others, (at - 1).cast("int")))

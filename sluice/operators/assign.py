@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,18 +40,37 @@ def group_of(reducer, length: int):
     return F.floor(reducer / length).cast("int")
 
 
-def reallocate(groups: DataFrame, failed: DataFrame) -> DataFrame:
-    """failed: (group_id, epoch_id) that pushers saw. A current epoch is followed by the next; a stale one gets the current."""
+def reallocate(groups: DataFrame, failed: DataFrame, pairs: int | None = None) -> DataFrame:
+    """failed: (group_id, epoch_id) that pushers saw. A current epoch is followed by the next; a stale one gets the current.
+
+    pairs: how many pairs of workers there are; a group that moves gets another
+    of them, dealt by its id and epoch. Without it, or with one pair, it stays.
+    """
     seen = failed.groupBy("group_id").agg(F.max("epoch_id").alias("seen"))
     moved = groups.join(seen, "group_id", "left")
     bump = F.coalesce(F.col("seen") >= F.col("epoch_id"), F.lit(False))
-    return moved.withColumn("epoch_id", F.col("epoch_id") + bump.cast("int")).drop("seen")
+    out = moved.withColumn("__bump", bump).withColumn("epoch_id", F.col("epoch_id") + bump.cast("int")).drop("seen")
+    if pairs and pairs > 1:
+        step = 1 + F.pmod(F.col("group_id") * 31 + F.col("epoch_id") * 17, F.lit(pairs - 1))
+        out = out.withColumn("pair", F.when(F.col("__bump"), F.pmod(F.col("pair") + step, F.lit(pairs)).cast("int")).otherwise(F.col("pair")))
+    return out.drop("__bump")
 
 
 def workers_wanted(n: int, extra_ratio: float = 1.5, most: int = 1000) -> int:
     return min(max(2, int(n * extra_ratio)), most)
 
 
+def initial_workers_of(instances: Column, least: Column, most: Column) -> Column:
+    """``initial_workers`` of columns; a null number of instances means dynamic allocation."""
+    dynamic = F.floor((F.floor(most / 50) + least) / 10)
+    return F.greatest(F.lit(2), F.when(instances.isNotNull(), F.floor(instances / 20)).otherwise(dynamic).cast("int"))
+
+
+def allocate_workers(workers: DataFrame, n: int, load: str, name: str, extra_ratio: float = 1.5, most: int = 1000) -> DataFrame:
+    """The workers for n partitions: as many as are wanted, least loaded first, or all there are."""
+    return least_loaded(workers, workers_wanted(n, extra_ratio, most), load, name)
+
+
 def initial_workers(instances: int | None = None, least: int = 0, most: int = 0) -> int:
     """An estimate before the first shuffle: from fixed executors, or from the bounds of dynamic allocation."""
     return max(2, instances // 20 if instances is not None else (most // 50 + least) // 10)

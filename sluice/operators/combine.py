@@ -19,6 +19,9 @@ def reduce_side(df: DataFrame, n: int, keys: list[str], *aggs: Column) -> DataFr
 
 
 def salted_sum(df: DataFrame, keys: list[str], value: str, out: str, salts: int = 16) -> DataFrame:
-    """A sum in two exchanges, the first by key and salt: for aggregates whose partial step cannot shrink a hot key."""
-    salted = df.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias("__salt")).agg(F.sum(value).alias("__part"))
+    """A sum in two exchanges, the first by key and salt: for aggregates whose partial step cannot shrink a hot key.
+
+    The salt is a row's place in its task, so equal values spread too; whatever a row's salt, the sum is the same.
+    """
+    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(*keys, "__salt").agg(F.sum(value).alias("__part"))
     return salted.groupBy(*keys).agg(F.sum("__part").alias(out))

@@ -56,3 +56,28 @@ def write_succeeded(codes: DataFrame, replicas: int = 2) -> DataFrame:
     keys = [c for c in codes.columns if c not in ("replica", "code")]
     total = codes.groupBy(*keys).agg(F.sum("code").cast("bigint").alias("code_sum"), F.count(F.lit(1)).alias("answers"), F.max("code").alias("worst"))
     return total.withColumn("ok", (F.col("code_sum") <= replicas) & (F.col("answers") == replicas) & (F.col("worst") <= 1)).withColumn("rotate", F.col("ok") & (F.col("code_sum") > 0)).drop("worst")
+
+
+def stage_ends(ends: DataFrame, n_mappers: int) -> DataFrame:
+    """Adds to each (map_id, attempt_id, end_seq) whether it ``wins`` its mapper, and whether it ``triggers`` the stage's end: the win after which all mappers have ended."""
+    won = winning_attempts(ends).withColumn("wins", F.lit(True))
+    out = ends.join(won, ["map_id", "attempt_id"], "left")
+    first = ends.groupBy("map_id").agg(F.min("end_seq").alias("first"))
+    last = first.agg(F.max("first").alias("__last"), F.count(F.lit(1)).alias("__n"))
+    rows = out.join(first, "map_id").join(F.broadcast(last))  # one row
+    wins = F.coalesce("wins", F.lit(False)) & (F.col("end_seq") == F.col("first"))
+    return rows.select("map_id", "attempt_id", "end_seq", wins.alias("wins"), (wins & (F.col("end_seq") == F.col("__last")) & (F.col("__n") == n_mappers)).alias("triggers"))
+
+
+def lookup(ends: DataFrame, batches: DataFrame, committed: DataFrame, n_mappers: int, n_reducers: int, waited_ms: int = 0, timeout_ms: int = 600_000) -> DataFrame:
+    """(reducer_id, status, files): what a reader of each reducer learns of a stage. Files are listed only when the stage has ended well.
+
+    Loss is decided by reducer: one lost file fails only those who would read it.
+    """
+    won = winning_attempts(ends)
+    ended = all_ended(won, n_mappers).first()["all_ended"]
+    lost = lost_epochs(written_epochs(batches, won), committed).groupBy("reducer_id").agg(F.count(F.lit(1)).alias("lost"))
+    groups = file_groups(committed, n_reducers).join(lost, "reducer_id", "left")
+    status = stage_status(F.lit(ended), F.coalesce("lost", F.lit(0)), F.lit(waited_ms), timeout_ms)
+    none = F.array().cast(groups.schema["files"].dataType)
+    return groups.withColumn("status", status).select("reducer_id", "status", F.when(F.col("status") == "FINISHED", F.col("files")).otherwise(none).alias("files"))

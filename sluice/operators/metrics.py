@@ -27,3 +27,21 @@ def store_totals(committed: DataFrame) -> DataFrame:
     """Bytes and files of a shuffle, one replica of each file."""
     one = committed.where(F.col("file_length") >= 0).groupBy("reducer_id", "epoch_id").agg(F.max("file_length").alias("n"))
     return one.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_bytes"))
+
+
+def as_metrics(profile: DataFrame, prefix: str, key: str) -> DataFrame:
+    """(name, value): a row for each number of a profile, named prefix.key.column, as sinks take them."""
+    numbers = [c for c, t in profile.dtypes if c != key and t in ("int", "bigint", "double")]
+    pairs = F.array(*(F.struct(F.concat_ws(".", F.lit(prefix), F.col(key).cast("string"), F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers))
+    return profile.select(F.inline(pairs))
+
+
+def sink(rows: DataFrame, kind: str, path: str | None = None) -> None:
+    """Reports (name, value) rows: csv and json lines to a folder, or the console. Other kinds are Spark's own sinks, set in metrics.properties."""
+    if kind == "console":
+        rows.write.format("noop").mode("overwrite").save()
+        rows.show(truncate=False)
+    elif kind in ("csv", "json") and path:
+        rows.write.mode("append").format(kind).save(path)
+    else:
+        raise ValueError(kind)

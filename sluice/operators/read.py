@@ -80,6 +80,35 @@ def choose_replica(committed: DataFrame) -> DataFrame:
     return good.groupBy(*EPOCH).agg(F.min_by(F.struct(*rest), "replica").alias("__r")).select(*EPOCH, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
+def chunk_table(files: DataFrame, chunk: int) -> DataFrame:
+    """files: (file_path, file_length). (file_path, chunk_idx, start_off, end_off, file_length): even cuts, the last one shorter; no chunk for an empty file."""
+    n = F.when(F.col("file_length") > 0, F.ceil(F.col("file_length") / chunk)).otherwise(0).cast("int")
+    each = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("chunk_idx")
+    start = F.col("chunk_idx").cast("bigint") * chunk
+    return files.select("file_path", each, "file_length").select("file_path", "chunk_idx", start.alias("start_off"), F.least(start + chunk, "file_length").alias("end_off"), "file_length")
+
+
 def chunks_from(chunks: DataFrame, first: int) -> DataFrame:
-    """A file's chunks from an index on."""
-    return chunks.where(F.col("chunk_idx") >= first)
+    """A file's chunks from an index on, as a reader that starts again asks for them. Chunks that do not end where their file does are an error."""
+    ends = chunks.groupBy("file_path").agg(F.max("end_off").alias("__end"))
+    told = F.raise_error(F.concat(F.lit("chunks do not cover "), "file_path"))
+    whole = chunks.join(ends, "file_path").withColumn("end_off", F.when(F.col("__end") == F.col("file_length"), F.col("end_off")).otherwise(told.cast("bigint")))
+    return whole.where(F.col("chunk_idx") >= first).drop("__end")
+
+
+def open_reader(
+    batches: DataFrame, attempts: DataFrame, blacklist: DataFrame | None = None, reducers: tuple[int, int] | None = None,
+    maps: tuple[int, int] | None = None, split: tuple[int, int] | None = None, n_mappers: int | None = None,
+) -> DataFrame:
+    """One call for every kind of read: whole reducers, a range of mappers, or one of the ``split`` = (readers, index) of a skewed reducer.
+
+    A shuffle without mappers gives no rows. A range of mappers and a split exclude each other.
+    """
+    if maps and split:
+        raise ValueError("a split reads all mappers")
+    if n_mappers == 0:
+        return batches.limit(0)
+    rows = reducer_range(batches, *reducers) if reducers else batches
+    if split:
+        rows = split_read(rows, *split, blacklist_on=blacklist is not None)
+    return exactly_once(rows, attempts, blacklist, maps)

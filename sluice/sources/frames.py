@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 HEADER = struct.Struct("<iiii")
 
@@ -15,6 +16,16 @@ def frame(map_id: int, attempt_id: int, batch_id: int, body: bytes) -> bytes:
     return HEADER.pack(map_id, attempt_id, batch_id, len(body)) + body
 
 
+def _little(n: Column) -> Column:
+    h = F.lpad(F.hex(n.cast("bigint")), 8, "0")
+    return F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
+
+
+def framed(map_id: Column, attempt_id: Column, batch_id: Column, body: Column) -> Column:
+    """``frame`` of columns: non-negative ids, and a body of bytes."""
+    return F.unhex(F.concat(_little(map_id), _little(attempt_id), _little(batch_id), _little(F.octet_length(body)), F.hex(body)))
+
+
 def frames_of(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """An error for a frame that is cut."""
     at = 0

@@ -41,9 +41,9 @@ def _streamed(batches: DataFrame) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def dedup_stream_totals(spark: SparkSession, sf_dir: str, reducer: int) -> DataFrame:
-    """One reducer's rows and sum."""
-    return _streamed(batch_stream(spark, sf_dir).where(F.col("reducer_id") == reducer)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+def dedup_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and sum of all reducers."""
+    return _streamed(batch_stream(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def dedup_stream_by_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:

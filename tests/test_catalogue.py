@@ -1,6 +1,6 @@
 import pytest
 
-from sluice.plans import catalogue
+from sluice.plans import catalogue, services  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

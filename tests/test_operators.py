@@ -1,13 +1,16 @@
+import collections
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluice import conf, model
+from sluice import conf, model, session
 from sluice.functions import codec, units
 from sluice.operators import assign, commit, exchange, metrics, pack, read
-from sluice.plans import catalogue
-from sluice.sources import frames, store
+from sluice.plans import catalogue, services  # noqa: F401
+from sluice.sources import frames, registry, store
 
 
 @pytest.mark.parametrize(("n", "most", "workers", "groups", "last"), [
@@ -80,6 +83,190 @@ def test_folds(spark):
     assert _fold(spark, pack.rotate_epochs, [6, 6, 6, 6, 6], 10, policy="serial_push") == [0, 0, 0, 1, 1]
 
 
+def test_folds_of_many_batches_and_groups(spark):
+    """Against a step a row, with Arrow batches that cut groups."""
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([0, 1, 2, 3, 5, 8, 30]), rng.randrange(3)) for g in (1, None, 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, i int, n_bytes bigint, m int")
+    per = {g: [(n, m) for h, _, n, m in rows if h == g] for g in (1, None, 2)}
+
+    def greedy(xs):
+        no = held = 0
+        for n, _ in xs:
+            if held and held + n > 10:
+                no, held = no + 1, 0
+            held += n
+            yield no
+
+    def spill(xs):
+        no = held = count = 0
+        for n, _ in xs:
+            if count and (count >= 6 or held >= 20):
+                no, held, count = no + 1, 0, 0
+            held, count = held + n, count + 1
+            yield no
+
+    def chunk(xs):
+        no = held = 0
+        for n, _ in xs:
+            yield no
+            held += n
+            if held >= 12:
+                no, held = no + 1, 0
+
+    def flush(xs):
+        no = held = 0
+        for n, _ in xs:
+            if held and held + n >= 9:
+                no, held = no + 1, 0
+            yield no
+            no, held = (no + 1, 0) if n >= 9 else (no, held + n)
+
+    def rotate(xs, serial=False):
+        no = held = 0
+        over = False
+        for n, _ in xs:
+            yield no
+            if over:
+                no, held, over = no + 1, 0, False
+                continue
+            held += n
+            over = held > 15
+            if over and not serial:
+                no, held, over = no + 1, 0, False
+
+    def group(xs):
+        no, held = 0, {}
+        for n, m in xs:
+            yield no
+            held[m] = held.get(m, 0) + n
+            if held[m] > 25:
+                no, held = no + 1, {}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        for f, args, step in [
+            (pack.pack_greedy, (10,), greedy), (pack.spills, (6, 20), spill), (pack.split_chunks, (12,), chunk), (pack.flushes, (9,), flush), (pack.rotate_epochs, (15,), rotate),
+            (lambda *a: pack.rotate_epochs(*a, policy="serial_push"), (15,), lambda xs: rotate(xs, True)), (lambda r, g, o, t: pack.rotate_groups(r, g, o, "m", t), (25,), group),
+        ]:
+            out = f(df, ["g"], ["i"], *args).orderBy("i").collect()
+            for g in per:
+                assert [r[-1] for r in out if r.g == g] == list(step(per[g])), (step.__name__, g)
+        packed = pack.pack_greedy(df, ["g"], ["m", "i"], 10, boundary="m").collect()
+        members = collections.defaultdict(set)
+        for r in packed:
+            members[r.g, r.pack].add(r.m)
+        assert all(len(x) == 1 for x in members.values()) and len(members) == len({(r.g, r.pack) for r in packed})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rotation_moves_the_whole_group(spark):
+    """Member 1 passes the threshold, and member 0's next batch is in the new epoch too."""
+    rows = spark.createDataFrame([(0, i, m, n) for i, (m, n) in enumerate([(0, 4), (1, 9), (1, 3), (0, 4), (0, 4), (0, 4), (1, 1)])], "g int, i int, m int, n_bytes bigint")
+    assert [r.epoch for r in pack.rotate_groups(rows, ["g"], ["i"], "m", 10).orderBy("i").collect()] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_reallocated_groups_get_another_pair(spark):
+    groups = assign.partition_groups(spark, 100, 10, 5)
+    moved = assign.reallocate(groups, groups.select("group_id", "epoch_id"), 10)
+    both = {r.group_id: (r.epoch_id, r.pair) for r in moved.collect()}
+    old = {r.group_id: r.pair for r in groups.collect()}
+    assert all(e == 1 and p != old[g] and 0 <= p < 10 for g, (e, p) in both.items())
+    assert {r.pair for r in assign.reallocate(groups, groups.select("group_id", (F.col("epoch_id") - 1).alias("epoch_id")), 10).collect()} == set(old.values())
+
+
+def test_prefixes_of_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, None]), x, rng.randrange(9)) for x in rng.sample(range(10**6), 500)]
+    out = exchange.prefixed(spark.createDataFrame(rows, "g int, o bigint, n bigint"), ["g"], ["o"], s=F.col("n"), c=F.lit(1)).collect()
+    for g in (1, None):
+        want = sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+        got = sorted((r for r in out if r.g == g), key=lambda r: r.o)
+        assert [(r.c, r.s) for r in got] == [(i, sum(x[2] for x in want[:i])) for i in range(len(want))]
+    assert exchange.prefixed(spark.createDataFrame([], "g int, o bigint"), ["g"], ["o"], c=F.lit(1)).count() == 0
+
+
+def test_valid_arrays(spark):
+    rows = [([0, 1], [0, 5], [5, 2]), ([0, 1], [0, 6], [5, 2]), ([0, 4], [0, 5], [5, 2]), ([0], [0, 5], [5, 2]), ([], [], []), (None, [0], [1]), ([0], [1], [2])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, reducers array<int>, offsets array<bigint>, lengths array<bigint>")
+    assert [r.valid for r in pack.valid_arrays(df, group_length=4).orderBy("id").collect()] == [True] + [False] * 6
+
+
+def test_skewed_join_is_split(spark, tmp_path):
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # One row group is one task, and a partition is split along the tasks that wrote it: the table in eight files.
+        spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+        spark.read.parquet("/root/testdata/sf0.01/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+        df = catalogue.QUERIES["skewed_join_rows"](spark, str(tmp_path))
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_session(spark, tmp_path):
+    """Before all mappers have ended nothing is read; failed groups move; a removed shuffle leaves no files."""
+    s = session.ShuffleSession(spark, str(tmp_path / "root"), "app", conf.Settings.of({"sluice.max_partitions_per_group": "2"}))
+    sh = s.register(1, 2, 4, 3)
+    assert s.register(1, 2, 4, 3) is sh and s.status(sh) == "RUNNING" and s.status(sh, "700s") == "TIMEOUT"
+    rows = spark.createDataFrame([(0, 0, m, 0, b, 5) for m in (0, 1) for b in range(3)] + [(0, 0, 0, 1, 0, 5)], "reducer_id int, epoch_id int, map_id int, attempt_id int, batch_id bigint, n_bytes bigint")
+    ends = [(0, 0, 1), (0, 1, 2), (1, 0, 3)]
+    schema = "map_id int, attempt_id int, end_seq bigint"
+    s.write(sh, rows, spark.createDataFrame(ends[:2], schema), rows.limit(0))
+    with pytest.raises(RuntimeError, match="RUNNING"):
+        s.read(sh)
+    s.write(sh, rows, spark.createDataFrame(ends, schema), rows.limit(0))
+    assert s.status(sh) == "FINISHED" and s.read(sh).count() == 6 and s.read(sh, maps=(0, 1)).count() == 3
+    assert s.packed(rows, ["batch_id"]).select("pack").distinct().count() == 1
+    moved = s.reallocate(sh, sh.groups.select("group_id", "epoch_id").limit(1))
+    assert sorted(r.epoch_id for r in moved.collect()) == [0] * (moved.count() - 1) + [1]
+    assert s.destroy(sh) and not s.destroy(sh)
+    none = s.register(2, 0, 4, 3)
+    assert s.status(none) == "FINISHED" and s.read(none).count() == 0
+    other = s.register(3, 2, 4, 3)
+    s.write(other, rows, spark.createDataFrame(ends, schema), rows.limit(0))
+    assert s.stop() == ["app-3"]
+
+
+def test_chunks_must_cover_their_file(spark):
+    files = spark.createDataFrame([("a", 10), ("b", 0), ("c", 4)], "file_path string, file_length bigint")
+    chunks = read.chunk_table(files, 4)
+    assert sorted((r.file_path, r.chunk_idx, r.start_off, r.end_off) for r in read.chunks_from(chunks, 0).collect()) == [("a", 0, 0, 4), ("a", 1, 4, 8), ("a", 2, 8, 10), ("c", 0, 0, 4)]
+    with pytest.raises(Exception, match="do not cover"):
+        read.chunks_from(chunks.where("chunk_idx < 2"), 0).collect()
+
+
+def test_readers(spark):
+    rows = spark.createDataFrame([], model.BATCHES)
+    with pytest.raises(ValueError, match="all mappers"):
+        read.open_reader(rows, rows, rows, maps=(0, 1), split=(2, 0))
+    assert read.open_reader(rows, rows, n_mappers=0).columns == rows.columns
+
+
+def test_placement_and_sinks(spark, tmp_path):
+    assert store.placement(2, False) == {"dfs.replication": "2", "dfs.checksum.type": "NULL"} and store.placement() == {}
+    rows = spark.createDataFrame([("a.n", 1.0)], "name string, value double")
+    for kind in ("csv", "json"):
+        metrics.sink(rows, kind, str(tmp_path / kind))
+        assert spark.read.schema("name string, value double").format(kind).load(str(tmp_path / kind)).count() == 1
+    with pytest.raises(ValueError):
+        metrics.sink(rows, "carrier pigeon")
+
+
+def test_registry_kinds(spark, tmp_path):
+    book = registry.Registry(spark, str(tmp_path))
+    book.put("lock", spark.createDataFrame([("a", 1, "{}"), ("a", 2, '{"x":1}')], "key string, ts bigint, value string"))
+    assert [tuple(r) for r in book.latest("lock").collect()] == [("a", 2, '{"x":1}')]
+    with pytest.raises(ValueError, match="kind"):
+        book.latest("queues")
+
+
 def test_push_validation(spark):
     rows = spark.createDataFrame([(1, 0, 0, 0, 5), (1, 1, 0, 5, 5), (2, 0, 0, 0, 5), (2, 1, 0, 6, 5), (3, 0, 0, 0, 5), (3, 9, 1, 5, 5)], "push_id int, reducer_id int, group_id int, offset bigint, n_bytes bigint")
     assert {r.push_id: r.valid for r in pack.valid_push(rows).collect()} == {1: True, 2: False, 3: False}
@@ -91,14 +278,26 @@ def test_codec_round_trip(data, name):
 
 
 def test_codec_errors():
-    block = codec.pack(b"abc" * 500)
+    block, at = codec.pack(b"abc" * 500), codec.HEADER.size
+    with pytest.raises(ValueError, match="checksum"):
+        codec.unpack(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :])
     with pytest.raises(ValueError, match="checksum"):
-        codec.unpack(block[:17] + bytes([block[17] ^ 1]) + block[18:])
-    with pytest.raises(ValueError, match="whole"):
         codec.unpack(block[:-1])
+    for cut in (b"", block[:10], b"x" + block[1:], block[:4] + b"\x09" + block[5:]):
+        with pytest.raises(ValueError, match="not a block"):
+            codec.unpack(cut)
     with pytest.raises(ValueError, match="unknown"):
         codec.pack(b"x", "zip")
-    assert codec.pack(b"abc")[8] == codec.RAW
+    assert codec.CODECS[codec.pack(b"abc")[4]] == "none"
+
+
+def test_block_headers(spark):
+    raw = [b"", b"abc", b"abc" * 5000]
+    df = spark.createDataFrame([(x,) for x in raw], "raw binary").withColumn("block", codec.compressed(F.col("raw"), "zstd"))
+    size, stored = codec.block_sizes(F.col("block"))
+    rows = df.select(F.octet_length("raw").alias("n"), size.alias("r"), stored.alias("s"), codec.block_codec(F.col("block")).alias("c")).orderBy("n").collect()
+    assert [(r.r, r.c) for r in rows] == [(0, "none"), (3, "none"), (15_000, "zstd")]
+    assert rows[0].s == 0 and rows[1].s == 3 and rows[2].s < 200
 
 
 def test_codec_dictionary():
