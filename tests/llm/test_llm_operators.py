@@ -67,26 +67,85 @@ def test_base_scores_by_brute_force(spark):
         assert (r.n_tokens, r.train_tokens, r.held_out) == (len(tokens), n, r.doc_id not in train)
 
 
-def test_distributions_are_proper_and_scores_are_sums():
-    texts = ["the cat sat on the mat", "the cat ran", None, "a dog"] * 5
-    g, _ = suffix_tree.grams(texts, 3)
-    keys, counts = np.unique(g, return_counts=True)
-    d, ctx, sym, n = [], [], [], []
-    for k in range(4):
-        low = keys & np.uint64((1 << 8 * (k + 1)) - 1)
-        u, inv = np.unique(low, return_inverse=True)
-        c = np.bincount(inv, counts)
-        d += [k] * len(u)
-        ctx += (u >> np.uint64(8)).tolist()
-        sym += (u & np.uint64(255)).tolist()
-        n += c.tolist()
-    tree = suffix_tree.grow(np.array(d), np.array(ctx, np.uint64), np.array(sym, np.uint64), np.array(n), 3)
-    assert len(tree.contexts[1]) > 0
-    for before in (0, 0x746865, 0x7A7A7A, int(tree.contexts[1][0])):
+def _tree_of(texts, depth=4):
+    keys, counts = np.unique(suffix_tree.grams(texts, depth)[0], return_counts=True)
+    low, inv = np.unique(keys & np.uint64(0xFFFFFF), return_inverse=True)
+    return suffix_tree.grow(keys, counts, suffix_tree.grow_head(low, np.bincount(inv, counts)), depth)
+
+
+def test_distributions_are_proper():
+    tree = _tree_of(["the cat sat on the mat", "the cat ran", None, "a dog"] * 5)
+    assert len(tree.contexts[1]) > 0 and len(tree.contexts[4]) > 0
+    for before in (0, 0x20746865, 0x7A7A7A7A, int(tree.contexts[1][0]), int(tree.contexts[4][0])):
         all_next = (np.uint64(before) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
         assert (10 ** tree.score(all_next)).sum() == pytest.approx(1.0, abs=1e-9)
 
 
+def test_grams_of_texts_by_bytes():
+    texts = ["Ab  c", None, "", "\n x", "é\tZ"]
+    g, starts = suffix_tree.grams(texts, 6)
+    want = []
+    for t in texts:
+        raw = b"\n" * 6 + b" ".join((t or "").encode().lower().split()) + b"\n"
+        want.append([int.from_bytes(raw[i - 6 : i + 1], "big") for i in range(6, len(raw))])
+    assert [x.tolist() for x in np.split(g, starts[1:])] == want
+
+
+def _brute_scores(docs, depth, least):
+    """Every context of every training text in one dictionary; states by the test, and whatever a longer state needs."""
+    seqs = {i: b" ".join((t or "").encode().lower().split()) + b"\n" for i, t in docs}
+    train = [i for i in seqs if zlib.crc32(str(i).encode()) % 10]
+    count = collections.defaultdict(collections.Counter)
+    for i in train:
+        raw = b"\n" * depth + seqs[i]
+        for at in range(depth, len(raw)):
+            for k in range(depth + 1):
+                count[raw[at - k : at]][raw[at]] += 1
+
+    def p(ctx, x):
+        c = count[ctx]
+        n, kinds = sum(c.values()), len(c)
+        if not ctx:
+            return (c[x] + 1 / 256) / (n + 1)
+        return (c[x] + kinds * p(ctx[1:], x)) / (n + kinds)
+
+    states = {c for c in count if len(c) <= 2}
+    for c in [c for c in count if len(c) > 2]:
+        n = sum(count[c].values())
+        gain = 2 * sum(m * math.log(m / n / p(c[1:], x)) for x, m in count[c].items())
+        if n >= least and gain > len(count[c]) * math.log(n):
+            states |= {c[j:] for j in range(len(c))}
+    out = {}
+    for i, seq in seqs.items():
+        raw, total = b"\n" * depth + seq, 0.0
+        for at in range(depth, len(raw)):
+            ctx = next(raw[at - k : at] for k in range(depth, -1, -1) if raw[at - k : at] in states or not k)
+            total += math.log10(p(ctx, raw[at]))
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize(("depth", "least", "chunk"), [(6, 2, 24_000_000), (4, 3, 900)])
+def test_scores_by_brute_force(spark, monkeypatch, depth, least, chunk):
+    """One chunk or many: chunks of texts and parts of the tree change no score."""
+    monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+    rng = random.Random(8)
+    words = ["the", "cat", "sat", "mat", "on", "hats", "Éa", "ran", "x1"]
+    docs = [(i, None if i % 17 == 3 else " ".join(rng.choice(words) for _ in range(rng.randrange(0, 25)))) for i in range(120)] + [(500 + i, "a passage that repeats word for word in many documents") for i in range(9)]
+    want = _brute_scores(docs, depth, least)
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), depth, least).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-5, abs=1e-4) for i in want)
+
+
+def test_the_tree_grows_with_the_corpus():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [" ".join(word() for _ in range(50)) for _ in range(160)]
+    sizes = [sum(map(len, _tree_of(texts[:n], 6).contexts[3:])) for n in (40, 80, 160)]
+    assert sizes[0] * 1.5 < sizes[1] and sizes[1] * 1.5 < sizes[2]
+
+
 def test_model_beats_base_on_held_out(spark):
     rows = [r for r in suffix_tree.op2_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
