@@ -56,7 +56,10 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 
 
 def split_budget(children: DataFrame, parents: list[str]) -> DataFrame:
-    """children: (*parents, budget, cap, w, name..); adds ``got``. Capacity over weight orders who is filled first."""
+    """children: (*parents, budget, cap, w, name..); adds ``got``. Capacity over weight orders who is filled first.
+
+    Shares are whole tokens; what rounding down leaves goes to the first open children, one each, so a family spends all it can.
+    """
     family = W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0))
     ranked = children.withColumn("ratio", F.col("cap") / F.when(F.col("w") > 0, F.col("w")).cast("double"))
     order = family.orderBy(F.col("ratio").asc_nulls_last(), *[c for c in LEVELS if c in children.columns])
@@ -69,9 +72,13 @@ def split_budget(children: DataFrame, parents: list[str]) -> DataFrame:
     # Tokens for one unit of weight, were all before it filled up.
     ranked = ranked.withColumn("rate", (F.col("budget") - F.col("used")) / F.when(F.col("rest_w") > 0, F.col("rest_w")).cast("double"))
     ranked = ranked.withColumn("full", F.coalesce(F.col("ratio") <= F.col("rate"), F.lit(False)))
-    first_open = F.min(F.when(~F.col("full") & (F.col("w") > 0), F.struct("rn", "rate"))).over(family)["rate"]
-    got = F.when(F.col("full"), F.col("cap")).when(F.col("w") > 0, F.least(F.col("cap"), F.floor(first_open * F.col("w")))).otherwise(0)
-    return ranked.withColumn("got", F.greatest(got.cast("bigint"), F.lit(0))).drop("ratio", "rest_w", "used", "rn", "rate", "full")
+    open_ = ~F.col("full") & (F.col("w") > 0)
+    ranked = ranked.withColumn("first", F.min(F.when(open_, F.struct("rn", "rate", (F.col("budget") - F.col("used")).alias("left")))).over(family))
+    ranked = ranked.withColumn("share", F.when(open_, F.floor(F.col("first.rate") * F.col("w"))))
+    spare = F.col("first.left") - F.sum("share").over(family)
+    more = (F.col("rn") - F.col("first.rn") < spare).cast("bigint")
+    got = F.when(F.col("full"), F.col("cap")).when(open_, F.least(F.col("cap"), F.col("share") + more)).otherwise(0)
+    return ranked.withColumn("got", F.greatest(got.cast("bigint"), F.lit(0))).drop("ratio", "rest_w", "used", "rn", "rate", "full", "first", "share")
 
 
 def leaf_targets(leaves: DataFrame, budget: int | None, weights: dict, max_epochs: int) -> DataFrame:
@@ -164,22 +171,27 @@ def _sql_level(name: str, level: str, parents: list[str], given: str) -> str:
     return f"""
 {name}_n AS (SELECT {cols}, sum(tokens * {MAX_EPOCHS})::BIGINT AS cap, sum(tokens)::BIGINT AS tokens, ({_sql_weight(level)})::BIGINT AS w FROM leaves GROUP BY {cols}),
 {name}_r AS (SELECT n.*, g.budget, n.cap / n.w::DOUBLE AS ratio FROM {name}_n n JOIN {given} g ON {on}),
-{name}_s AS (SELECT *, sum(w) OVER ({part}) - coalesce(sum(w) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_w,
+{name}_s AS (SELECT *, row_number() OVER ({part} ORDER BY ratio, {cols}) AS rn, sum(w) OVER ({part}) - coalesce(sum(w) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_w,
   coalesce(sum(cap) OVER ({part} ORDER BY ratio, {cols} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM {name}_r),
 {name}_f AS (SELECT *, (budget - used)::DOUBLE / rest_w::DOUBLE AS rate, ratio <= (budget - used)::DOUBLE / rest_w::DOUBLE AS filled FROM {name}_s),
-{name} AS (SELECT {cols}, tokens, CASE WHEN filled THEN cap ELSE least(cap, floor(arg_min(rate, ratio) FILTER (WHERE NOT filled) OVER ({part}) * w)::BIGINT) END AS budget FROM {name}_f)"""
+{name}_g AS (SELECT *, min(rn) FILTER (WHERE NOT filled) OVER ({part}) AS rn0, floor(arg_min(rate, rn) FILTER (WHERE NOT filled) OVER ({part}) * w)::BIGINT AS share,
+  arg_min(budget - used, rn) FILTER (WHERE NOT filled) OVER ({part}) AS left0 FROM {name}_f),
+{name}_h AS (SELECT *, left0 - sum(share) FILTER (WHERE NOT filled) OVER ({part}) AS spare FROM {name}_g),
+{name} AS (SELECT {cols}, tokens, CASE WHEN filled THEN cap ELSE least(cap, share + (rn - rn0 < spare)::INT) END::BIGINT AS budget FROM {name}_h)"""
 
 
 OP5_SQL = f"""
-WITH u AS (SELECT doc_id, 'd' || (regexp_extract(source, '([0-9]+)', 1)::BIGINT % 4) AS domain, lang, source,
-  len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents),
+WITH s AS (SELECT *, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})', 1) AS number FROM documents),
+u AS (SELECT doc_id, CASE WHEN number = '' THEN 'other' ELSE 'd' || (number::BIGINT % 4) END AS domain, lang, source,
+  len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM s),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM u GROUP BY ALL),
 top AS (SELECT sum(tokens)::BIGINT AS budget FROM leaves),
 {_sql_level('l1', 'domain', [], 'top')},
 {_sql_level('l2', 'lang', ['domain'], 'l1')},
 {_sql_level('l3', 'source', ['domain', 'lang'], 'l2')},
 t AS (SELECT *, budget // tokens AS full_epochs, budget % tokens AS rest FROM l3 WHERE tokens > 0),
-k AS (SELECT u.*, full_epochs, rest, md5('{SEED}:' || (full_epochs + 1) || ':' || doc_id) AS key FROM u JOIN t USING (domain, lang, source)),
+k AS (SELECT u.*, full_epochs, rest, md5('{SEED}:' || (full_epochs + 1) || ':' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM u JOIN t ON u.domain = t.domain AND u.lang IS NOT DISTINCT FROM t.lang AND u.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) - n_tokens < rest AS below, full_epochs AS f FROM k),
 -- The prefix ends with the document that reaches its tokens; one without words that follows has as many before it and stays out.
 n AS (SELECT *, f + below::INT AS epochs FROM c)

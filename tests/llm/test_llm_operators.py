@@ -186,6 +186,42 @@ def test_no_labels_no_rules(spark):
     assert quality.learn(docs, spark.createDataFrame([], "doc_id bigint, quality int")) == []
 
 
+def test_learned_list_by_brute_force(spark):
+    """The emitted conditional against rules evaluated in Python, the rules' cover and order against the labelled rows, the first condition against many others."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        kind = rng.choice(["clean", "clean", "clean", "symbols", "shout"])
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(rng.randrange(15, 50))]
+        if kind == "symbols":
+            words = [w + "#$%" for w in words]
+        if kind == "shout":
+            words = [w.upper() + "!!" for w in words]
+        rows.append((i, " ".join(words), int(kind == "clean")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").cache()
+    rules = quality.learn(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    assert 1 <= len(rules) <= quality.MAX_RULES
+    names = list(quality.SHARES)
+    judged = docs.select("doc_id", "quality", quality.judged(F.col("text"), rules).alias("j"))
+    got = judged.select("doc_id", "quality", "j.rule", "j.kept", "j.base_failed", *(quality.SHARES[n](F.col("j.q")).alias(n) for n in names)).collect()
+    meets = lambda r, c: r[c.share] >= c.threshold if c.at_least else r[c.share] < c.threshold
+    fired = lambda r: next((n for n, x in enumerate(rules, 1) if all(meets(r, c) for c in x.conditions)), 0)
+    assert all(r.rule == fired(r) and r.kept == (not r.base_failed and r.rule == 0) for r in got)
+    assert [x.covered for x in rules] == [sum(r.rule == n for r in got) for n in range(1, len(rules) + 1)]
+    assert all(sum(1 - r.quality for r in got if r.rule == n) >= 0.9 * x.covered for n, x in enumerate(rules, 1))
+    assert sum(r.kept == bool(r.quality) for r in got) > 0.97 * len(got)
+    parts = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("p")).collect()}
+    grow = [r for r in got if parts[r.doc_id] > 0]
+    bad = sum(1 - r.quality for r in grow)
+
+    def gain(c):
+        p, n = (sum(meets(r, c) and r.quality == q for r in grow) for q in (0, 1))
+        return p * (p / (p + n) - bad / len(grow)) if p else 0.0
+
+    best = max(gain(quality.Condition(n, up, r[n])) for n in names for up in (True, False) for r in rng.sample(grow, 60))
+    assert gain(rules[0].conditions[0]) >= 0.9 * best
+
+
 # Licences
 
 
@@ -240,6 +276,24 @@ def test_epochs_and_prefixes(spark):
     assert all(r.n == r.e for r in per) and {r.n for r in per} <= {1, 2, 3}
 
 
+def test_budgets_are_spent_whole(spark):
+    """Ten tokens over three equal leaves are four, three and three; caps and unequal weights leave nothing either."""
+
+    def targets(leaves, budget, weights):
+        df = spark.createDataFrame([("d0", "en", n, t) for n, t in leaves], "domain string, lang string, source string, tokens bigint")
+        return {r.source: r.target for r in mixing.leaf_targets(df, budget, weights, 1).collect()}
+
+    assert targets([("a", 100), ("b", 100), ("c", 100)], 10, {}) == {"a": 4, "b": 3, "c": 3}
+    assert targets([("a", 2), ("b", 100), ("c", 100)], 11, {"source": {"b": 3}}) == {"a": 2, "b": 7, "c": 2}
+    assert targets([("a", 2), ("b", 3)], 100, {}) == {"a": 2, "b": 3}
+    assert targets([("a", 20), ("b", 30)], 7, {"source": {"a": 0}}) == {"a": 0, "b": 7}
+    rng = random.Random(3)
+    for _ in range(3):
+        leaves = [(f"s{i}", rng.randrange(1, 60)) for i in range(7)]
+        got = targets(leaves, 150, {"source": {f"s{i}": rng.randrange(1, 5) for i in range(7)}})
+        assert sum(got.values()) == min(150, sum(t for _, t in leaves)) and all(got[n] <= t for n, t in leaves)
+
+
 # Pieces
 
 
