@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, count_partitions, table, written
@@ -226,18 +226,41 @@ def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, step
 
 
 def components(links: DataFrame, steps: Scratch | None = None) -> DataFrame:
-    """links: (x, y). (key, label): label is the least key that links reach. Labels travel along links and jump along labels."""
+    """links: (x, y). (key, label): label is the least key that links reach.
+
+    Every key takes the least of itself and its neighbours, and links are
+    contracted to what their ends took, until none is left between two names; so
+    each round joins only the links that the last has not settled.
+    """
     steps = steps or Scratch(links.sparkSession)
-    both = steps.written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = steps.written(both.groupBy(F.col("x").alias("key")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("key").alias("y"), F.col("label").alias("l")), "y").groupBy(F.col("x").alias("key")).agg(F.min("l").alias("l"))
-        step = labels.join(near, "key").select("key", F.col("label").alias("was"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        after = steps.written(step.join(jump, "label", "left").select("key", "was", F.least("label", "far").alias("label")), "labels")
-        if after.where("was != label").isEmpty():
-            return after.select("key", "label")
-        labels = after.select("key", "label")
+
+    def between(x: Column, y: Column, df: DataFrame) -> DataFrame:
+        ends = df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        return steps.written(ends.where("a < b").distinct(), "links")
+
+    edges, labels = between(F.col("x"), F.col("y"), links), None
+    while labels is None or not edges.isEmpty():
+        both = edges.select(F.col("a").alias("key"), F.col("b").alias("o")).unionByName(edges.select(F.col("b").alias("key"), F.col("a").alias("o")))
+        took = steps.written(both.groupBy("key").agg(F.min("o").alias("o")).select("key", F.least("key", "o").alias("label")), "labels")
+        labels = took if labels is None else steps.written(_relabelled(labels, took), "labels")
+        side = lambda c, took=took: took.select(F.col("key").alias(c), F.col("label").alias(f"l{c}"))
+        edges = between(F.col("la"), F.col("lb"), edges.join(side("a"), "a").join(side("b"), "b"))
+    return labels
+
+
+def _relabelled(labels: DataFrame, took: DataFrame) -> DataFrame:
+    """labels, where a label that ``took`` has as a key becomes what it took."""
+    new = took.select(F.col("key").alias("label"), F.col("label").alias("new"))
+    return labels.join(new, "label", "left").select("key", F.coalesce("new", "label").alias("label"))
+
+
+def joined(labels: DataFrame, links: DataFrame, steps: Scratch) -> DataFrame:
+    """labels: components so far; links: (x, y), new ones. The components of all: only links between two components are followed."""
+    side = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"l{c}"))
+    named = links.join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+    took = components(named, steps)
+    alone = took.join(labels.select("key"), "key", "left_anti")
+    return steps.written(_relabelled(labels, took).unionByName(alone.select("key", "label")), "labels")
 
 
 def _pairs(long_lists: bool, leaders: int | None, percent: int, spread: bool = False):
@@ -393,8 +416,9 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         more = _emitted(open_, True, None if last else LEADERS, percent, not last).distinct().join(known_, ["x", "y"], "left_anti")
         more = steps.written(more, "jaccard-more")
         if not more.isEmpty():
-            known_ = steps.written(known_.unionByName(compared(more, docs, reps, size, steps)), "jaccard-known")
-            labels = components(known_.where(linked), steps)
+            fresh = compared(more, docs, reps, size, steps)
+            known_ = known_.unionByName(fresh)
+            labels = joined(labels, fresh.where(linked), steps)
         if last:
             break
 
