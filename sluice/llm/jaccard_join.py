@@ -12,8 +12,8 @@ of what remains: sets that are already connected are never compared again.
    records, to ranges of shingle hashes, where lists are made by one sort.
 3. Lists of at most ``SHORT`` sets give all pairs that their sizes allow, with
    the number of shared prefix shingles as a bound; longer ones give ties of
-   each set to the list's leaders. Entries stand by size, so those of unfitting
-   size are skipped as a block.
+   each set to the list's leaders. Entries stand by size and position: those of
+   unfitting size, and blocks whose positions come too late, are skipped.
 4. ``compared`` ships a pair's texts to its hub (dealt to many tasks if the hub
    has many partners) and counts the overlap exactly.
 5. Components of the links; then, while a long list still holds sets of
@@ -49,6 +49,8 @@ LEADERS = 2
 #: Rounds of leaders at most; fewer, if the pairs that are left are no more than so many a posting.
 ROUNDS = 2
 PAIRS_PER_POSTING = 8
+#: Entries of a list's block.
+BLOCK = 64
 #: Sets that one task of a hub compares.
 HUB_ROWS = 1024
 MAX_FREQUENT = 2_000_000
@@ -298,16 +300,23 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int, spread: bool = F
                 ys.append(np.full(int(fits.sum()), key[i]))
             return np.concatenate(xs), np.concatenate(ys)
         xs, ys = [none], [none]
-        # Sizes ascend: for each set, partners of fitting size are one stretch; the rest is skipped as a block.
+        # Entries stand by size and position. Partners of fitting size are one stretch; of its blocks, those are skipped whose
+        # least position leaves too few shingles after it: the first shared shingle of a pair bounds what can follow it in both.
+        o = np.lexsort((pos, n))
+        key, n, comp, near, rest = key[o], n[o], comp[o], near[o], (n - pos - 1)[o]
         upto = np.searchsorted(n, n * 100 // percent, side="right")
+        firsts = np.arange(0, len(key), BLOCK)
+        least_n, most_rest = n[firsts], np.maximum.reduceat(rest, firsts)
         for i in range(len(key)):
-            j = slice(i + 1, upto[i])
-            fits = comp[j] != comp[i]
+            j = np.arange(i + 1, upto[i])
             if long_lists:
-                # The first shared shingle of a pair also bounds what can follow it in both sets.
-                fits &= 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= overlap_needed(n[i], n[j], percent)
-                fits &= may_link(i, j, n, near)
-            ks = key[j][fits]
+                b = np.arange((i + 1) // BLOCK, -(-upto[i] // BLOCK))
+                b = b[1 + np.minimum(rest[i], most_rest[b]) >= overlap_needed(n[i], np.maximum(least_n[b], n[i]))]
+                j = (b[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                j = j[(j > i) & (j < upto[i])]
+                j = j[1 + np.minimum(rest[i], rest[j]) >= overlap_needed(n[i], n[j])]
+                j = j[may_link(i, j, n, near)]
+            ks = key[j[comp[j] != comp[i]]]
             xs.append(np.maximum(ks, key[i]))
             ys.append(np.minimum(ks, key[i]))
         return np.concatenate(xs), np.concatenate(ys)

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -516,6 +517,32 @@ def test_components_by_brute_force(spark, monkeypatch, seed):
     assert got == _brute(texts)
 
 
+def test_skipped_blocks_lose_no_pair():
+    """All pairs of long lists by size, position and what the leader tells, with batches that cut a list."""
+    rng, m = np.random.default_rng(1), 400
+    for _ in range(3):
+        token, n, comp = np.sort(rng.integers(0, 3, m)), rng.integers(20, 60, m), rng.integers(0, 20, m)
+        key, pos = rng.permutation(5 * m)[:m], (rng.random(m) * n * 0.25).astype(int)
+        near = np.where(rng.random(m) < 0.5, -1, (rng.random(m) * n).astype(int))
+        o = np.lexsort((key, n, token))
+        token, key, n, pos, comp, near = (x[o].astype(np.int64) for x in (token, key, n, pos, comp, near))
+        want = set()
+        for i in range(m):
+            for j in range(i + 1, m):
+                need = jaccard_join.overlap_needed(n[i], n[j])
+                known = near[i] >= 0 and near[j] >= 0
+                if (
+                    token[i] == token[j] and comp[i] != comp[j] and 100 * n[i] >= 75 * n[j] and 1 + min(n[i] - pos[i], n[j] - pos[j]) - 1 >= need
+                    and not (known and min(near[j] + n[i] - near[i], near[i] + n[j] - near[j]) < need)
+                ):
+                    want.add((max(key[i], key[j]), min(key[i], key[j])))
+        rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, key, n, pos, comp, near)], ["token", "key", "n", "pos", "comp", "near"])
+        got = set()
+        for out in jaccard_join._pairs(True, None, 75)(iter([rows.slice(0, 150), rows.slice(150)])):
+            got |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+        assert got == want and len(want) > 100
+
+
 def test_other_thresholds(spark):
     texts = ["a b c d", "a b c e", "a b c d e f", "x y z", "x y z"]
     got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs_of(spark, texts), size=1, percent=60).collect())
