@@ -30,20 +30,26 @@ class Kind:
     base: float
     context: str
     near: float = 0.2
-    #: Spans under this score are dropped. The four contract kinds keep all that their validators confirm.
-    least: float = 0.0
     valid: str = field(default="any")
 
 
+# How many characters an IBAN has, by country (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+#: Whole by its country's length, so that no word that follows is taken for a part of it; single spaces may stand anywhere.
+IBAN = "(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")"
 #: Kinds in the order in which spans are listed.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, r"e-?mail|mail|contact|correo|courriel|kontakt"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|login|adresse"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, r"card|visa|master|credit|payment|karte|carte|tarjeta", valid="luhn"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"phone|tel|call|mobile|fax|telefon|tél", valid="phone"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", least=0.5, valid="mod97"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}){IBAN}(?![A-Za-z0-9])", "", 0.6, r"iban|account|bank|konto|compte|cuenta", valid="mod97"),
 )
-#: Code points before a span in which context words count.
+#: Code points before and after a span in which context words count. A score tells how sure a span is; validators alone decide which there are.
 CONTEXT = 48
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
@@ -97,7 +103,9 @@ def _spans(kind: Kind, text: Column) -> Column:
 
     def scored(x: Column) -> Column:
         ahead = F.least(x["start"], F.lit(CONTEXT))
-        near = F.substr(text, (x["start"] - ahead + 1).cast("int"), ahead.cast("int")).rlike(f"(?i)(?:{kind.context})")
+        words = f"(?i)(?:{kind.context})"
+        before = F.substr(text, (x["start"] - ahead + 1).cast("int"), ahead.cast("int"))
+        near = before.rlike(words) | F.substr(text, (x["start"] + F.length(x["m"]) + 1).cast("int"), F.lit(CONTEXT)).rlike(words)
         return F.struct(
             F.lit(kind.name).alias("kind"),
             x["start"].alias("start"),
@@ -111,7 +119,7 @@ def _spans(kind: Kind, text: Column) -> Column:
         matches,
         lambda m: F.when(
             F.exists(m, lambda x: _valid(kind, x)),
-            F.filter(F.transform(F.filter(located(m), lambda x: _valid(kind, x["m"])), scored), lambda s: s["score"] >= kind.least),
+            F.transform(F.filter(located(m), lambda x: _valid(kind, x["m"])), scored),
         ).otherwise(F.array().cast(span)),
     )
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(F.array().cast(span)) if kind.needs else found
@@ -166,7 +174,7 @@ _RE2 = {
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+    "iban": rf"\b{IBAN}\b",
 }
 
 OP1_SQL = (
@@ -183,11 +191,12 @@ ok AS (
     WHEN 'phone' THEN length(dg) BETWEEN 8 AND 15
     WHEN 'card' THEN length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(dg), ''), lambda x, j: CASE WHEN j % 2 = 1 THEN x::INT WHEN x::INT < 5 THEN x::INT * 2 ELSE x::INT * 2 - 9 END)) % 10 = 0
     ELSE length(c) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(c[5:] || c[1:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x::INT ELSE 100 + ascii(x) - 55 END)), lambda a, x: CASE WHEN x < 100 THEN (a * 10 + x) % 97 ELSE (a * 100 + x - 100) % 97 END) = 1 END),
-ctx AS (SELECT ok.*, CASE WHEN regexp_matches(substr(t, (greatest(s - 48, 0) + 1)::INT, least(s, 48)::INT), '(?i)(?:' || CASE kind """
+words AS (SELECT ok.*, t, '(?i)(?:' || CASE kind """
     + " ".join(f"WHEN '{k.name}' THEN '{k.context}'" for k in KINDS)
-    + r""" END || ')') THEN 0.2 ELSE 0 END + CASE kind """
+    + r""" END || ')' AS w FROM ok JOIN d USING (r)),
+ctx AS (SELECT * EXCLUDE (t, w), CASE WHEN regexp_matches(substr(t, (greatest(s - 48, 0) + 1)::INT, least(s, 48)::INT), w) OR regexp_matches(substr(t, (e + 1)::INT, 48), w) THEN 0.2 ELSE 0 END + CASE kind """
     + " ".join(f"WHEN '{k.name}' THEN {k.base}" for k in KINDS)
-    + r""" END AS score FROM ok JOIN d USING (r)),
+    + r""" END AS score FROM words),
 per AS (
   SELECT r, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone, count(*) FILTER (WHERE k = 4) AS n_iban,
     coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (WHERE k < 4), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans,

@@ -50,6 +50,14 @@ def test_pii_context_and_redaction(spark):
     assert [r.redacted for r in rows] == ["see <IP>", "host <IP>, mail <EMAIL>"]
 
 
+def test_ibans_end_with_their_country_and_context_stands_on_both_sides(spark):
+    texts = ["IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "ES9121000418450200051332 is the account", "DE89370400440532013000x", "ES91 2100 0418 4502 0005 1332"]
+    rows = pii.find_pii(docs_of(spark, texts)).orderBy("doc_id").collect()
+    got = [[(s.kind, texts[r.doc_id][s.start : s.end], round(s.score, 1)) for s in r.pii] for r in rows]
+    iban = "ES91 2100 0418 4502 0005 1332"
+    assert got == [[("iban", iban, 0.8)], [("iban", iban.replace(" ", ""), 0.8)], [], [("iban", iban, 0.6)]]
+
+
 # Language model
 
 
