@@ -107,12 +107,9 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def clear(self, but: DataFrame | None = None) -> None:
-        """Deletes what was written, except what ``but`` reads."""
-        held = set() if but is None else {f[: f.rindex("/")] for f in but.inputFiles()}
-        keep = [p for p in self.paths if any(h.endswith(p.split(":", 1)[-1].rstrip("/")) for h in held)]
-        removed(self.spark, *(p for p in self.paths if p not in keep))
-        self.paths = keep
+    def clear(self) -> None:
+        removed(self.spark, *self.paths)
+        self.paths = []
 
 
 def count_partitions(spark: SparkSession) -> int:

@@ -17,6 +17,7 @@ log-probability, which is sampling k without replacement, by perturbed A-star:
 Random numbers are hashes of (row key, sample, word, step), so results do not
 depend on batches, partitions or retries. No piece spans the start of a word, so
 lattices are built once a distinct word and chunk, by numpy over all positions.
+The driver reads the model and broadcasts it.
 
 Defined results: null and empty texts have the one empty segmentation; a text
 with fewer than k segmentations gets as many rows as it has; a null key is the
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from sluice.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes that a model's file may have; it is broadcast.
+MAX_MODEL = 64 << 20
 SAMPLES = 2
 THETA = 0.6
 #: Ranks are shifted by this much, which flattens the head of the Zipf curve.
@@ -55,12 +58,12 @@ _U = np.uint64
 
 
 class Vocabulary:
-    """Pieces of a model file, as a trie in an open-addressed table."""
+    """Pieces of a model, given as the bytes of its file, as a trie in an open-addressed table."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.sp.get_piece_size()
         self.bytes_of = [b""] * n
         normal: list[tuple[str, int]] = []
@@ -141,9 +144,23 @@ class Vocabulary:
         return self.sp.normalize(text) if text else ""
 
 
+def model_bytes(path: str) -> bytes:
+    """The model's file, which only the driver has to have; an error for one that is too large to broadcast."""
+    with open(path, "rb") as file:
+        data = file.read(MAX_MODEL + 1)
+    if len(data) > MAX_MODEL:
+        raise ValueError(f"{path} has more than {MAX_MODEL} bytes")
+    return data
+
+
 @cache
+def vocabulary_of(model: bytes) -> Vocabulary:
+    """One a worker."""
+    return Vocabulary(model)
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return vocabulary_of(model_bytes(path))
 
 
 @np.errstate(over="ignore")
@@ -488,11 +505,11 @@ def _seed(key) -> int:
     return xxhash.xxh64_intdigest(b"null" if key is None else str(key).encode())
 
 
-def _encode(path: str, k: int, theta: float, with_ids: bool):
+def _encode(model, k: int, theta: float, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sluice.llm.pieces import vocabulary
+        from sluice.llm.pieces import vocabulary_of
 
-        v = vocabulary(path)
+        v = vocabulary_of(model.value)
 
         def flush(keys: list, texts: list[str]) -> pa.RecordBatch:
             seeds = np.array([_seed(x) for x in keys], np.uint64)
@@ -539,17 +556,20 @@ def sampled_encodings(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """(id, sample, n_pieces, log_prob, inclusion, ids_sha256, round_trip[, ids]): up to k rows a row. round_trip: decoding gives the normalised text."""
     schema = "key bigint, sample bigint, n_pieces bigint, log_prob double, inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(path, k, theta, with_ids), schema).withColumnRenamed("key", id_col)
+    model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+    return rows.mapInArrow(_encode(model, k, theta, with_ids), schema).withColumnRenamed("key", id_col)
 
 
 def decoded(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = MODEL) -> DataFrame:
     """Adds ``out``: the text of an array of piece ids; null for null."""
 
+    model = df.sparkSession.sparkContext.broadcast(model_bytes(path))
+
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        from sluice.llm.pieces import vocabulary
+        from sluice.llm.pieces import vocabulary_of
 
-        v = vocabulary(path)
+        v = vocabulary_of(model.value)
         return column.map(lambda x: None if x is None else v.decode(list(x)))
 
     return df.withColumn(out, run(F.col(ids)))
@@ -558,11 +578,13 @@ def decoded(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str = M
 def best_encoding(df: DataFrame, text: str = "text", out: str = "ids", path: str = MODEL) -> DataFrame:
     """Adds ``out``: the vocabulary's own encoding; null and empty texts give an empty array."""
 
+    model = df.sparkSession.sparkContext.broadcast(model_bytes(path))
+
     @F.pandas_udf("array<int>")
     def run(column: pd.Series) -> pd.Series:
-        from sluice.llm.pieces import vocabulary
+        from sluice.llm.pieces import vocabulary_of
 
-        return pd.Series(vocabulary(path).sp.encode(column.fillna("").tolist(), num_threads=1), index=column.index)
+        return pd.Series(vocabulary_of(model.value).sp.encode(column.fillna("").tolist(), num_threads=1), index=column.index)
 
     return df.withColumn(out, run(F.col(text)))
 
