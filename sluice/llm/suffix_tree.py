@@ -48,8 +48,8 @@ HEAD = 2
 PART = HEAD + 1
 #: Occurrences that a longer context must have.
 LEAST = 2
-#: Bytes of a chunk of texts; one text may be longer.
-CHUNK = 24_000_000
+#: Bytes of a chunk of texts at most, though one text may be longer; and at least, where fewer chunks would leave tasks idle.
+CHUNK, LEAST_CHUNK = 8_000_000, 2_000_000
 #: Parts for each partition of a shuffle.
 SPREAD = 8
 #: Tokens that can each be 1 / MAX_COMMON of all tokens: the broadcast part of the token counts.
@@ -252,6 +252,13 @@ def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
+def _tallied(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and how often each stands there."""
+    g = np.sort(g)
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
+    return g[first], np.diff(np.r_[first, len(g)])
+
+
 def _asked(parts: int, depth: int):
     """Rows sorted by chunk. (part, chunk, n, grams, counts): each chunk's distinct grams by part, ascending, as differences; counts in its training texts."""
 
@@ -286,9 +293,11 @@ def _asked(parts: int, depth: int):
                     if held:
                         yield told(at, held)
                     at, held = int(chunks[i]), []
-                codes, names = pd.factorize(g[starts[i] : ends[j - 1]])
+                own = g[starts[i] : ends[j - 1]]
                 counted = np.repeat(~out[i:j], ends[i:j] - starts[i:j])
-                held.append((names, np.bincount(codes[counted], minlength=len(names))))
+                held.append(_tallied(own[counted]))
+                asked = _tallied(own[~counted])[0]
+                held.append((asked, np.zeros(len(asked), np.int64)))
         if held:
             yield told(at, held)
 
@@ -362,12 +371,18 @@ def _scored(common, parts: int, depth: int):
                     out.append([pa.array(rid[pair // len(kinds)]), *none, pa.array(kinds[pair % len(kinds)].view(np.int64)), pa.array(tf)])
         if not held:
             return _ROWS.empty_table()
-        names = np.unique(np.concatenate([h[1] for h in held]))
+        found = np.concatenate([h[1] for h in held])
+        by_gram = np.argsort(found)
+        first = np.r_[True, np.diff(found[by_gram]) != 0]
+        place = np.empty(len(found), np.int64)
+        place[by_gram] = np.cumsum(first) - 1
+        names = found[by_gram[first]]
         order, _ = _by_part(names, parts)
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "n", "logp")), strict=True))
         logp = np.empty(len(names))
         logp[order] = np.concatenate([_unpacked(x, n, np.float32) for _, n, x in rows])
-        scores = iter([np.add.reduceat(logp[np.searchsorted(names, h[1])][h[0]], h[2]) for h in held])
+        cuts = np.cumsum([0, *(len(h[1]) for h in held)]).tolist()
+        scores = iter([np.add.reduceat(logp[place[i:j]][codes], starts) for i, j, (codes, _, starts) in zip(cuts[:-1], cuts[1:], held, strict=True)])
         for x in out:
             if x[6] is None:
                 x[6] = pa.array(next(scores))
@@ -399,9 +414,10 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFr
     o = np.argsort(key)
     common = spark.sparkContext.broadcast((key[o], np.log10(count[o] + 0.1) - whole))
     size = counts.where("kind = 2").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    chunks, parts = max(1, -(-size // CHUNK)), SPREAD * count_partitions(spark)
+    n, parts = count_partitions(spark), SPREAD * count_partitions(spark)
+    chunks = max(1, -(-size // CHUNK), min(n, size // LEAST_CHUNK))
     # One exchange of texts: the plan reads it for what chunks ask, and again for what they are answered.
-    n = max(chunks, count_partitions(spark))
+    n = max(chunks, n)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(n, "chunk")
     asked = dealt.sortWithinPartitions("chunk").mapInArrow(_asked(parts, depth), "part int, chunk int, n int, grams binary, counts binary")
     by_part = asked.repartition(count_partitions(spark), "part").sortWithinPartitions("part", "chunk")

@@ -134,7 +134,7 @@ def _brute_scores(docs, depth, least):
     return out
 
 
-@pytest.mark.parametrize(("depth", "least", "chunk"), [(6, 2, 24_000_000), (4, 3, 900)])
+@pytest.mark.parametrize(("depth", "least", "chunk"), [(6, 2, 8_000_000), (4, 3, 900)])
 def test_scores_by_brute_force(spark, monkeypatch, depth, least, chunk):
     """One chunk or many: chunks of texts and parts of the tree change no score."""
     monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
