@@ -322,7 +322,7 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int, spread: bool = F
         return np.concatenate(xs), np.concatenate(ys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[list[np.ndarray]] = []  # the last list so far, by batch
         cols = ("token", "key", "n", "pos", "comp", "near")
 
         def emit(a: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -340,16 +340,18 @@ def _pairs(long_lists: bool, leaders: int | None, percent: int, spread: bool = F
 
         for batch in batches:
             a = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
-            if rest is not None:
-                a = [np.concatenate([p, q]) for p, q in zip(rest, a, strict=True)]
             if not len(a[0]):
                 continue
+            if held and a[0][-1] == held[0][0][0]:
+                held.append(a)
+                continue
+            a = [np.concatenate(parts) for parts in zip(*held, a, strict=True)]
             cut = int(np.searchsorted(a[0], a[0][-1]))  # the last list may go on
-            rest = [c[cut:] for c in a]
             if cut:
                 yield from emit([c[:cut] for c in a])
-        if rest is not None and len(rest[0]):
-            yield from emit(rest)
+            held = [[c[cut:] for c in a]]
+        if held:
+            yield from emit([np.concatenate(parts) for parts in zip(*held, strict=True)])
 
     return run
 

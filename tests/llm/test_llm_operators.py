@@ -546,7 +546,7 @@ def test_skipped_blocks_lose_no_pair():
                     want.add((max(key[i], key[j]), min(key[i], key[j])))
         rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, key, n, pos, comp, near)], ["token", "key", "n", "pos", "comp", "near"])
         got = set()
-        for out in jaccard_join._pairs(True, None, 75)(iter([rows.slice(0, 150), rows.slice(150)])):
+        for out in jaccard_join._pairs(True, None, 75)(iter([rows.slice(0, 40), rows.slice(40, 10), rows.slice(50, 100), rows.slice(150)])):
             got |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
         assert got == want and len(want) > 100
 
