@@ -37,6 +37,8 @@ SPELLINGS = (
     (r"version ([0-9]+)\.0\b", r"version \1"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
+#: The same where only \n ends a line, which Java has to be told.
+_COPYRIGHT_LINE = COPYRIGHT_LINE.replace("(?m)", "(?md)", 1)
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: What the SQL's known texts hold; ``marks`` derives the same for any known texts.
 MARK = r"(?i)licen[sc]|rights reserved|public domain|permission to"
@@ -130,7 +132,7 @@ _SPELLED = ("sublicense", "noncommercial", "organization", "while", "http", "ver
 
 
 def canonical(text: Column) -> Column:
-    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    t = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _COPYRIGHT_LINE, "")
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to.replace("\\1", "$1"))
     return F.btrim(F.regexp_replace(t, PUNCTUATION, " "))
@@ -142,7 +144,7 @@ def digest(text: Column) -> Column:
 
 def blocks(text: Column) -> Column:
     """The blocks of a text whose canonical form is not empty."""
-    return F.filter(F.split(text, BLANK, -1), lambda x: F.regexp_replace(ascii_lower(x), COPYRIGHT_LINE, "").rlike(r"[\p{L}\p{N}]"))
+    return F.filter(F.split(text, BLANK, -1), lambda x: F.regexp_replace(ascii_lower(x), _COPYRIGHT_LINE, "").rlike(r"[\p{L}\p{N}]"))
 
 
 def known_texts(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> list[tuple[str, str, str, int]]:

@@ -285,6 +285,12 @@ def test_epochs_and_prefixes(spark):
     assert all(r.n == r.e for r in per) and {r.n for r in per} <= {1, 2, 3}
 
 
+def test_only_line_feeds_end_a_copyright_line(spark):
+    texts = ["Copyright 2020 A\rB\u2028C\x85D\nMIT License", "MIT License"]
+    df = docs_of(spark, texts).select(licenses.canonical(F.col("text")).alias("c"))
+    assert [r.c for r in df.collect()] == ["mit license"] * 2
+
+
 def test_budgets_are_spent_whole(spark):
     """Ten tokens over three equal leaves are four, three and three; caps and unequal weights leave nothing either."""
 
