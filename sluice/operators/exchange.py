@@ -46,7 +46,8 @@ def prefixed(df: DataFrame, group: list[str], order: list[str], **sums: Column)
     A group of any size is cut into ranges of the first order column, whose
     bounds are quantiles of the table; windows run within a range, and a table
     with a row a group and range carries the sums of the ranges before. Rows that
-    share a value of that column are one range, so it should tell most apart.
+    share a value of that column are one range, so it should tell most apart; it
+    is a number or a time.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)] or [0.5], 1000).alias("q")).first()["q"]

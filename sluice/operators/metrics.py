@@ -39,7 +39,6 @@ def as_metrics(profile: DataFrame, prefix: str, key: str) -> DataFrame:
 def sink(rows: DataFrame, kind: str, path: str | None = None) -> None:
     """Reports (name, value) rows: csv and json lines to a folder, or the console. Other kinds are Spark's own sinks, set in metrics.properties."""
     if kind == "console":
-        rows.write.format("noop").mode("overwrite").save()
         rows.show(truncate=False)
     elif kind in ("csv", "json") and path:
         rows.write.mode("append").format(kind).save(path)
