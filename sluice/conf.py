@@ -37,10 +37,8 @@ class Settings:
     spill_size: str = "256m"
     spill_records: int = 1_000_000
     blacklist: bool = True
-    retries: int = 3
     replicas: int = 2
     codec: str = "lz4"
-    zstd_level: int = 3
     app_timeout: str = "120s"
     worker_timeout: str = "120s"
     remove_delay: str = "60s"

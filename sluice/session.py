@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sluice.conf import Settings, size_bytes, time_ms
 from sluice.model import EPOCH
-from sluice.operators import assign, commit, pack, read
+from sluice.operators import assign, commit, lifecycle, pack, read
 from sluice.sources import store
 
 
@@ -60,6 +60,35 @@ class ShuffleSession:
         lengths = batches.withColumn("group_id", assign.group_of(F.col("reducer_id"), self.settings.max_partitions_per_group))
         return pack.pack_greedy(lengths, ["map_id", "attempt_id"], ["group_id", *order], size_bytes(self.settings.push_buffer), boundary="group_id")
 
+    def spilled(self, batches: DataFrame, order: list[str]) -> DataFrame:
+        """Batches of each mapper by the spills that its records and bytes force."""
+        return pack.spills(batches, ["map_id", "attempt_id"], order, self.settings.spill_records, size_bytes(self.settings.spill_size))
+
+    def rotated(self, batches: DataFrame, order: list[str]) -> DataFrame:
+        """Batches by the epoch of their partition group: it moves when one of its files has grown too large."""
+        groups = batches.withColumn("group_id", assign.group_of(F.col("reducer_id"), self.settings.max_partitions_per_group))
+        return pack.rotate_groups(groups.drop("epoch_id"), ["group_id"], order, "reducer_id", size_bytes(self.settings.epoch_rotate)).withColumnRenamed("epoch", "epoch_id")
+
+    def flushed(self, batches: DataFrame, order: list[str]) -> DataFrame:
+        """Batches of each file by the writes that its buffer makes of them."""
+        return pack.flushes(batches, list(EPOCH), order, size_bytes(self.settings.flush_buffer))
+
+    def chunks(self, files: DataFrame) -> DataFrame:
+        """The chunks in which files are fetched."""
+        return read.chunk_table(files, size_bytes(self.settings.fetch_chunk))
+
+    def live_workers(self, beats: DataFrame, key: str, now_ms: int) -> DataFrame:
+        """Workers whose last beat is recent enough. beats: (key, ts in milliseconds)."""
+        return lifecycle.alive(lifecycle.last_heartbeats(beats, key), now_ms, time_ms(self.settings.worker_timeout))
+
+    def expired_apps(self, beats: DataFrame, now_ms: int) -> DataFrame:
+        """Applications that were not heard of for too long. beats: (app_id, ts in milliseconds)."""
+        return lifecycle.expired(lifecycle.last_heartbeats(beats, "app_id"), now_ms, time_ms(self.settings.app_timeout))
+
+    def removable(self, unregistered: DataFrame, now_ms: int) -> DataFrame:
+        """Shuffles whose removal has waited long enough. unregistered: (shuffle_key, ts in milliseconds)."""
+        return lifecycle.removable(unregistered, now_ms, time_ms(self.settings.remove_delay))
+
     def write(self, shuffle: Shuffle, batches: DataFrame, ends: DataFrame, failed: DataFrame | None = None) -> None:
         """ends: (map_id, attempt_id, end_seq) of the mappers that ended; failed: pushes that are blacklisted."""
         shuffle.schema = ", ".join(f"{n} {t}" for n, t in batches.dtypes)

@@ -234,6 +234,21 @@ def test_session(spark, tmp_path):
     assert s.stop() == ["app-3"]
 
 
+def test_sessions_follow_their_settings(spark, tmp_path):
+    own = {"max_partitions_per_group": "2", "push_buffer": "8b", "spill_size": "10b", "spill_records": "3", "epoch_rotate": "9b", "flush_buffer": "7b", "fetch_chunk": "4b", "worker_timeout": "2s", "app_timeout": "3s", "remove_delay": "1s"}
+    s = session.ShuffleSession(spark, str(tmp_path), "app", conf.Settings.of({f"sluice.{k}": v for k, v in own.items()}))
+    rows = spark.createDataFrame([(r, 0, 0, 0, b, 5) for b, r in enumerate([0, 1, 0, 2, 0, 1])], "reducer_id int, epoch_id int, map_id int, attempt_id int, batch_id bigint, n_bytes bigint")
+    by = lambda df, c: [r[c] for r in df.orderBy("batch_id").collect()]
+    assert by(s.packed(rows, ["batch_id"]), "pack") == [0, 1, 2, 5, 3, 4]
+    assert by(s.spilled(rows, ["batch_id"]), "spill") == [0, 0, 1, 1, 2, 2]
+    assert by(s.rotated(rows, ["batch_id"]), "epoch_id") == [0, 0, 0, 0, 1, 1]
+    assert by(s.flushed(rows, ["batch_id"]), "flush") == [0, 0, 1, 0, 2, 1]
+    assert s.chunks(spark.createDataFrame([("a", 9)], "file_path string, file_length bigint")).count() == 3
+    beats = spark.createDataFrame([("a", 1000), ("b", 5000)], "app_id string, ts bigint")
+    assert [r.app_id for r in s.live_workers(beats, "app_id", 6000).collect()] == ["b"] and [r.app_id for r in s.expired_apps(beats, 6000).collect()] == ["a"]
+    assert s.removable(beats.withColumnRenamed("app_id", "shuffle_key"), 2500).count() == 1
+
+
 def test_chunks_must_cover_their_file(spark):
     files = spark.createDataFrame([("a", 10), ("b", 0), ("c", 4)], "file_path string, file_length bigint")
     chunks = read.chunk_table(files, 4)
