@@ -1,14 +1,15 @@
 """Compressed blocks: a header with the raw size and a checksum, then the body, stored as it is if compression does not pay.
 
 Spark compresses its own shuffles and files; this is for payloads that travel
-as binary columns. It runs in Arrow batches.
+as binary columns. It runs in Arrow batches, without pandas, and answers each
+in pieces: a worker holds Spark's batch and one piece, however many rows it gets.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column
@@ -19,6 +20,8 @@ MARK = b"slc2"
 HEADER = struct.Struct(">4sBQQ")
 CODECS = ("none", "lz4", "zstd")
 _ARROW = {"lz4": "lz4_raw", "zstd": "zstd"}
+#: Bytes after which a piece of a batch's answer is sent.
+PIECE = 1 << 20
 
 
 def pack(data: bytes, codec: str = "lz4") -> bytes:
@@ -55,22 +58,40 @@ def block_codec(block: Column) -> Column:
     return F.get(F.array(*map(F.lit, CODECS)), F.conv(F.hex(F.substring(block, 5, 1)), 16, 10).cast("int"))
 
 
-def compressed(column: Column, codec: str = "lz4") -> Column:
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else pack(bytes(x), codec))
+def pieces(values: pa.Array, f: Callable[[bytes], bytes]) -> Iterator[pa.Array]:
+    """``f`` of each value in order, nulls as they are, in arrays that end with the value that reaches PIECE bytes."""
+    out, size = [], 0
+    for x in values:
+        y = f(x.as_py()) if x.is_valid else None
+        out.append(y)
+        size += len(y or b"")
+        if size >= PIECE:
+            yield pa.array(out, pa.binary())
+            out, size = [], 0
+    if out:
+        yield pa.array(out, pa.binary())
 
-    return run(column.cast("binary"))
 
+def _mapped(column: Column, make: Callable[[], Callable[[bytes], bytes]]) -> Column:
+    """``make()`` of each value; it is called once a task."""
 
-def decompressed(column: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unpack(bytes(x)))
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = make()
+        for values in batches:
+            yield from pieces(values, f)
 
     return run(column)
 
 
+def compressed(column: Column, codec: str = "lz4") -> Column:
+    return _mapped(column.cast("binary"), lambda: lambda x: pack(x, codec))
+
+
+def decompressed(column: Column) -> Column:
+    return _mapped(column, lambda: unpack)
+
+
 def train_dictionary(samples: list[bytes], size: int = 16_384) -> bytes:
     """A zstd dictionary from sample payloads."""
     import zstandard
@@ -93,22 +114,18 @@ def unpack_with_dictionary(data: bytes, dictionary: bytes) -> bytes:
 def packed_with_dictionary(column: Column, dictionary: bytes, level: int = 3) -> Column:
     """``pack_with_dictionary`` of a column; the dictionary goes with the plan and has at most the size it was trained to."""
 
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
+    def make() -> Callable[[bytes], bytes]:
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
-        return s.map(lambda x: None if x is None else c.compress(bytes(x)))
+        return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
 
-    return run(column.cast("binary"))
+    return _mapped(column.cast("binary"), make)
 
 
 def unpacked_with_dictionary(column: Column, dictionary: bytes) -> Column:
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
+    def make() -> Callable[[bytes], bytes]:
         import zstandard
 
-        d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-        return s.map(lambda x: None if x is None else d.decompress(bytes(x)))
+        return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
 
-    return run(column)
+    return _mapped(column, make)

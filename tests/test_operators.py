@@ -1,5 +1,7 @@
 import collections
 import random
+import re
+from pathlib import Path
 
 import pytest
 from hypothesis import given
@@ -315,6 +317,37 @@ def test_block_headers(spark):
     assert rows[0].s == 0 and rows[1].s == 3 and rows[2].s < 200
 
 
+def _most_mb(mark):
+    """The peak memory of a Python worker with ``mark`` in its environment."""
+    found = []
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if mark in (p / "environ").read_bytes():
+                found.append(int(re.search(r"VmHWM:\s+(\d+)", (p / "status").read_text())[1]) / 1024)
+        except (OSError, TypeError):  # it ended meanwhile
+            continue
+    return max(found)
+
+
+def test_codec_worker_holds_pieces(spark, monkeypatch):
+    """A batch of small blocks with 400 MB in them: a worker never holds all of it."""
+    block = codec.pack(b"ab" * 500_000, "zstd")
+    monkeypatch.setitem(spark.sparkContext.environment, "SLUICE_TEST", "pieces")
+    rows = spark.range(0, 400, 1, 1).select(codec.decompressed(F.lit(block)).alias("raw"))
+    assert rows.agg(F.sum(F.octet_length("raw").cast("bigint"))).collect()[0][0] == 400_000_000
+    assert _most_mb(b"SLUICE_TEST=pieces") < 300
+
+
+def test_codec_pieces_keep_rows(spark):
+    """Nulls, empty values and answers of several pieces stay beside their rows."""
+    raw = F.when(F.col("id") % 7 > 1, F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 400_000))).when(F.col("id") % 7 == 1, "")
+    df = spark.range(0, 60, 1, 2).withColumn("raw", raw.cast("binary"))
+    for c in ("lz4", "zstd"):
+        back = df.withColumn("back", codec.decompressed(codec.compressed(F.col("raw"), c)))
+        assert back.where(~F.col("back").eqNullSafe(F.col("raw"))).count() == 0 and back.where("back is null").count() == 9
+    assert df.limit(0).select(codec.compressed(F.col("raw"))).count() == 0
+
+
 def test_codec_dictionary():
     samples = [f'{{"user": {i}, "kind": "click", "value": {i * 7}}}'.encode() for i in range(3000)]
     d = codec.train_dictionary(samples)
