@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -364,6 +365,23 @@ def test_frames(spark, tmp_path):
         list(frames.frames_of(data[:-20]))
 
 
+def test_frames_of_many_and_of_large_files(spark):
+    """20,000 files of one frame, in one task: a file costs no batch of its own. Files of several batches, and empty ones, keep their rows."""
+    one = frames.framed(F.lit(1), F.lit(0), F.col("id"), F.lit(b"abc"))
+    small = spark.range(0, 20_000, 1, 1).select(F.col("id").cast("string").alias("path"), one.alias("content"))
+    began = time.perf_counter()
+    got = frames.read_frames(small).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("path") == F.col("batch_id").cast("string")).cast("int")).alias("same"), F.sum(F.octet_length("body")).alias("size"))
+    assert tuple(got.collect()[0]) == (20_000, 20_000, 60_000)
+    assert time.perf_counter() - began < 8
+    many = b"".join(frames.frame(2, 1, i, b"") for i in range(25_000))
+    large = b"".join(frames.frame(3, 1, i, bytes([i]) * 700_000) for i in range(5))
+    rows = frames.read_frames(spark.createDataFrame([("a", many), ("b", b""), ("c", large)], "path string, content binary").coalesce(1))
+    want = [("a", 25_000, 25_000, 0), ("c", 5, 5, 3_500_000)]
+    got = rows.groupBy("path").agg(F.count(F.lit(1)), F.count_distinct("batch_id"), F.sum(F.octet_length("body"))).orderBy("path").collect()
+    assert [tuple(r) for r in got] == want
+    assert rows.where("path = 'c' and body <> unhex(repeat(lpad(hex(batch_id), 2, '0'), 700000))").count() == 0
+
+
 def test_settings():
     s = conf.Settings.of({"sluice.push_buffer": "8m", "sluice.blacklist": "false", "other": "x"})
     assert conf.size_bytes(s.push_buffer) == 8 << 20 and not s.blacklist and conf.time_ms(s.app_timeout) == 120_000
