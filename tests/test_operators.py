@@ -339,6 +339,15 @@ def test_codec_worker_holds_pieces(spark, monkeypatch):
     assert _most_mb(b"SLUICE_TEST=pieces") < 300
 
 
+def test_lz4_sizes_of_long_texts(spark, tmp_path, monkeypatch):
+    """Batches of 64 MB, as texts of 1 MB fill them: blocks and what they give back are not held beside their batch."""
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), 15_625)
+    spark.range(0, 200, 1, 1).select(F.lit("en").alias("lang"), text.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setitem(spark.sparkContext.environment, "SLUICE_TEST", "lz4")
+    assert [tuple(r) for r in catalogue.QUERIES["codec_lz4_sizes"](spark, str(tmp_path)).collect()] == [("en", 200, 200_000_000, True, 0)]
+    assert _most_mb(b"SLUICE_TEST=lz4") < 300
+
+
 def test_codec_pieces_keep_rows(spark):
     """Nulls, empty values and answers of several pieces stay beside their rows."""
     raw = F.when(F.col("id") % 7 > 1, F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 400_000))).when(F.col("id") % 7 == 1, "")
