@@ -277,10 +277,9 @@ def faults_change_no_result(spark, sf_dir):
 def codec_lz4_sizes(spark, sf_dir):
     """Raw and stored bytes, as the blocks' headers tell them."""
     docs = table(spark, sf_dir, "documents").select("lang", F.col("text").cast("binary").alias("raw"))
-    blocks = docs.withColumn("block", codec.compressed(F.col("raw"), "lz4"))
-    raw, stored = codec.block_sizes(F.col("block"))
-    damaged = (F.col("raw") != codec.decompressed(F.col("block"))).cast("bigint")
-    per = blocks.select("lang", raw.alias("r"), stored.alias("s"), damaged.alias("d"))
+    blocks = docs.select("lang", codec.checked(F.col("raw"), "lz4").alias("c"))
+    raw, stored = codec.block_sizes(F.col("c.block"))
+    per = blocks.select("lang", raw.alias("r"), stored.alias("s"), (~F.col("c.intact")).cast("bigint").alias("d"))
     return per.groupBy("lang").agg(_n(), F.sum("r").alias("raw_bytes"), (F.sum("s") < F.sum("r")).alias("stored_less"), F.sum("d").alias("damaged"))
 
 
@@ -288,8 +287,8 @@ def codec_lz4_sizes(spark, sf_dir):
 def codec_raw_fallback(spark, sf_dir):
     """A digest does not compress and is stored as it is."""
     raw = F.unhex(F.sha2(F.col("o_orderkey").cast("string"), 256))
-    blocks = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("block", codec.compressed(F.col("raw"), "zstd"))
-    return blocks.select("o_orderkey", (codec.decompressed(F.col("block")) == F.col("raw")).alias("kept"), codec.block_codec(F.col("block")).alias("codec"))
+    blocks = table(spark, sf_dir, "orders").select("o_orderkey", codec.checked(raw, "zstd").alias("c"))
+    return blocks.select("o_orderkey", F.col("c.intact").alias("kept"), codec.block_codec(F.col("c.block")).alias("codec"))
 
 
 @query("SELECT count(*) AS n, sum(strlen(props))::BIGINT AS raw_bytes, 0::BIGINT AS damaged FROM events", False)

@@ -4,6 +4,7 @@ import re
 import time
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -348,6 +349,28 @@ def test_lz4_sizes_of_long_texts(spark, tmp_path, monkeypatch):
     assert _most_mb(b"SLUICE_TEST=lz4") < 300
 
 
+@pytest.mark.parametrize("name", ["codec_lz4_sizes", "codec_raw_fallback"])
+def test_blocks_are_read_back_in_one_worker(spark, name):
+    """One Python worker a task: blocks do not go to a second one to be read back."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
+
+
+def test_codec_checked(spark, monkeypatch):
+    """Blocks as ``compressed`` makes them, over several pieces, nulls in their places; a block that gives back other bytes is told."""
+    raw = F.when(F.col("id") % 7 > 1, F.concat(F.col("id").cast("string"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20_000))).when(F.col("id") % 7 == 1, "")
+    df = spark.range(0, 60, 1, 2).withColumn("raw", raw.cast("binary"))
+    for c in ("lz4", "zstd"):
+        got = df.select("raw", codec.compressed(F.col("raw"), c).alias("block"), codec.checked(F.col("raw"), c).alias("c"))
+        assert got.where("NOT c.block <=> block OR NOT c.intact <=> if(raw IS NULL, NULL, true)").count() == 0 and got.where("c IS NULL").count() == 9
+    assert df.limit(0).select(codec.checked(F.col("raw"))).count() == 0
+    values = pa.array([b"a" * 10, None, codec.pack(random.Random(3).randbytes(codec.PIECE)), b""])
+    sizes = [len(p) for p in codec.pieces(values, codec.check, codec.CHECKED, lambda y: len(y["block"]))]
+    assert sizes == [3, 1]
+    monkeypatch.setattr(codec, "unpack", lambda block: b"other")
+    assert codec.check(b"abc")["intact"] is False
+
+
 def test_codec_pieces_keep_rows(spark):
     """Nulls, empty values and answers of several pieces stay beside their rows."""
     raw = F.when(F.col("id") % 7 > 1, F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 400_000))).when(F.col("id") % 7 == 1, "")
